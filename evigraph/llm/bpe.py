@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -86,7 +88,7 @@ class Pieces(dict):
 
 
 def _joined(a: tuple, b: tuple) -> tuple:
-    return a[0] + b" " + b[0], a[1] + b" " + b[1]
+    return a[0] + b" " + b[0], a[1] + b" " + b[1], a[2] + b[2]
 
 
 class Bpe:
@@ -133,14 +135,14 @@ class Bpe:
         self.number = {i: str(i).encode() for i in self.text_of}
         self.token = {i: t.encode() for i, t in self.text_of.items()}
 
-    def _rendered(self, ids: list[int]) -> tuple[bytes, bytes]:
+    def _rendered(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
         number, token = self.number, self.token
-        return b" ".join([number[i] for i in ids]), b" ".join([token[i] for i in ids])
+        return b" ".join([number[i] for i in ids]), b" ".join([token[i] for i in ids]), array("i", ids).tobytes()
 
-    def _piece(self, text: str) -> tuple[bytes, bytes]:
+    def _piece(self, text: str) -> tuple[bytes, bytes, bytes]:
         return self._rendered(self.ids_of(text))
 
-    def _word(self, text: str) -> tuple[bytes, bytes]:
+    def _word(self, text: str) -> tuple[bytes, bytes, bytes]:
         if not text.isascii():
             symbols = self.symbols
             text = "".join([symbols[b] for b in text.encode()])
@@ -221,12 +223,12 @@ class Bpe:
         return ids
 
     def pieces_of(self, text: str) -> list[tuple]:
-        """(ids as decimal text, decoded text) of each piece, in order; no token crosses a space or line feed."""
+        """(ids as decimal text, decoded text, ids as 32-bit numbers) of each piece, in order; no token crosses a space or line feed."""
         known = self.pieces
         return [known[p] for p in text.replace("\n", " ").split(" ") if p]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.pieces_of(text) for i in p[0].split()]
+        return np.frombuffer(b"".join([p[2] for p in self.pieces_of(text)]), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens joined by single spaces."""
@@ -253,24 +255,35 @@ def read_spec(path: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, ids array<int>, decoded string)``; a null text has no ids and decodes to ''."""
+    """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids array<int>)``; a null text has no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches):
         bpe = load(shared.value)
         for whole in batches:
-            for b in slices(whole, 500, 4 << 20):
-                got = [bpe.pieces_of(t or "") for t in b.column("text").to_pylist()]
+            for b in slices(whole, 1000, 2 << 20):
+                rows = [b"".join([p[2] for p in bpe.pieces_of(t.as_py() or "")]) for t in b.column("text")]
+                ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").cast(pa.int64()),
-                        pa.array([[int(i) for p in g for i in p[0].split()] for g in got], pa.list_(pa.int32())),
-                        pa.array([b" ".join([p[1] for p in g if p[1]]).decode() for g in got], pa.string()),
-                    ],
-                    names=["doc_id", "ids", "decoded"],
+                    [b.column("doc_id").cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), ids],
+                    names=["doc_id", "n_tokens", "ids"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded(doc_id, ids)`` to ``(doc_id, text)``: each list of ids decoded; null ids give ''."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
+
+    def run(batches):
+        bpe = load(shared.value)
+        for b in batches:
+            texts = [bpe.decode(i.as_py() or []) for i in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -283,7 +296,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             counts, of_ids, of_text = [], [], []
             for t in b.column("text"):
                 got = bpe.pieces_of(t.as_py() or "")
-                a, d = zip(*got) if got else ((), ())
+                a, d, _ = zip(*got) if got else ((), (), ())
                 ids, text = b" ".join(a), b" ".join(d)
                 if b"" in a:  # a piece of white space only has no ids
                     ids, text = b" ".join(filter(None, a)), b" ".join(filter(None, d))

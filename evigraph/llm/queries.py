@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linededup, mixing
 from .common import table
 
 
@@ -14,6 +15,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as Parquet list columns and read back."""
+    from .tokenfile import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by a golden-ratio schedule of equal blocks."""
+    from .mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a bidirectional GRU over bytes."""
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(docs)))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact BPE ids and their decoding, as digests."""
     from .bpe import encode_digests
@@ -21,6 +45,16 @@ def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines removed; counts and a digest of what each document keeps."""
+    from .linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit SimHash of three-word shingles and the groups linked within three bits."""
     from .simhash import near_duplicates
@@ -30,8 +64,15 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op4_golden_mix": op4_golden_mix,
+    "op5_bigru_language": op5_bigru_language,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
+    "op9_line_chunks": op9_line_chunks,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_golden_mix": mixing.SQL,
+    "op9_line_chunks": linededup.SQL,
+}
