@@ -15,6 +15,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data: base spans of the patterns and spans that the conditional random field adds."""
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document from preference pairs of labelled ones."""
+    from .quality import held_out, learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    ranker = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return score(docs, ranker).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as Parquet list columns and read back."""
     from .tokenfile import round_trip
@@ -38,6 +54,20 @@ def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.98 or more within a label, and their groups."""
+    from .pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of each text, of its edited text, and their likeness."""
+    from .cws import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact BPE ids and their decoding, as digests."""
     from .bpe import encode_digests
@@ -64,9 +94,13 @@ def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_pii": op1_crf_pii,
+    "op2_bradley_terry": op2_bradley_terry,
     "op3_token_files": op3_token_files,
     "op4_golden_mix": op4_golden_mix,
     "op5_bigru_language": op5_bigru_language,
+    "op6_pivot_permutations": op6_pivot_permutations,
+    "op7_weighted_sampling": op7_weighted_sampling,
     "op8_bpe_prefix_dp": op8_bpe_prefix_dp,
     "op9_line_chunks": op9_line_chunks,
     "op10_simhash_pigeonhole": op10_simhash_pigeonhole,
