@@ -18,6 +18,7 @@ by text.  Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from .bpe import Pieces, read_spec
 from .common import map_arrow, new_path, slices, worker_cache
 
+#: Pieces remembered by a worker, twice: some 200 bytes each.
+ROOM = 500_000
+
 OPTIONS = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
@@ -50,9 +54,9 @@ def _pieces(spec: str, key: str = "tokenfile") -> Pieces:
         tok.no_padding()
 
         def ids(text):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+            return array("i", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-        kept["pieces"], kept["mark"] = Pieces(ids, ids, bytes.__add__), mark
+        kept["pieces"], kept["mark"] = Pieces(ids, ids, bytes.__add__, ROOM), mark
     return kept["pieces"]
 
 
@@ -68,8 +72,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
         for whole in batches:
             for b in slices(whole, 1000, 2 << 20):
                 rows = []
-                for t in b.column("text"):
-                    text = t.as_py()
+                for text in b.column("text").to_pylist():
                     rows.append(b"".join([*map(get, filter(None, text.replace("\n", " ").split(" "))), end]) if text else end)
                 counts = np.array([len(r) // 4 for r in rows], np.int64)
                 ends = np.cumsum(counts)
