@@ -398,11 +398,11 @@ def gr_cycle(spark, sf_dir):
 
 # ---------------------------------------------------------------- search
 
-TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> strlen(x) >= 2)"
+TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)"
 
 
 @query(f"""WITH d AS (SELECT doc_id AS doc, {TERMS} AS w FROM documents),
-c AS (SELECT doc, len(w)::DOUBLE AS n, len(list_filter(w, x -> x = 'the'))::DOUBLE AS a, len(list_filter(w, x -> x = 'with'))::DOUBLE AS b FROM d),
+c AS (SELECT doc, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'with'))::DOUBLE AS b FROM d),
 s AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, sum((a > 0)::INT)::DOUBLE AS da, sum((b > 0)::INT)::DOUBLE AS db FROM c)
 SELECT doc, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
 FROM c, s WHERE a > 0 AND b > 0""")
@@ -410,17 +410,17 @@ def ft_bm25(spark, sf_dir):
     return se.bm25(read(spark, sf_dir, "documents"), ["text"], ["the", "with"], "doc_id").select("doc", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH d AS (SELECT doc_id AS doc, {TERMS} AS w FROM documents) SELECT doc, len(list_filter(range(1, len(w)), i -> w[i] = 'of' AND w[i + 1] = 'the'))::BIGINT AS hits FROM d WHERE len(list_filter(range(1, len(w)), i -> w[i] = 'of' AND w[i + 1] = 'the')) > 0")
+@query(f"WITH d AS (SELECT doc_id AS doc, {TERMS} AS w FROM documents) SELECT doc, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::BIGINT AS hits FROM d WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0")
 def ft_phrase(spark, sf_dir):
     return se.phrase(read(spark, sf_dir, "documents"), "text", "Of the", "doc_id")
 
 
-@query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), x -> starts_with(x, 'then')))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, x -> starts_with(x, 'then'))) > 0")
+@query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), lambda x: starts_with(x, 'then')))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, lambda x: starts_with(x, 'then'))) > 0")
 def ft_prefix(spark, sf_dir):
     return se.prefix(read(spark, sf_dir, "documents"), "text", "then", "doc_id")
 
 
-@query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), x -> abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, x -> abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1)) > 0")
+@query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), lambda x: abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, lambda x: abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1)) > 0")
 def ft_fuzzy(spark, sf_dir):
     return se.fuzzy(read(spark, sf_dir, "documents"), "text", "that", 1, "doc_id")
 
@@ -441,7 +441,7 @@ def mem_recall(spark, sf_dir):
 def sd_hybrid_seed(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("confidence")), "doc_id", "left")
     degree = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return se.seeds(docs, ["text"], degree, "the hidden question of this nation", "doc_id", 10).select("doc", F.round("score", 6).alias("score"), "rank", "ambiguous")
+    return se.seeds(docs, ["text"], degree, "when then there were ere", "doc_id", 10).select("doc", F.round("score", 6).alias("score"), "rank", "ambiguous")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script)\\b.*?</script\\s*>|<(style)\\b.*?</style\\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages")
@@ -665,7 +665,7 @@ def st_windows(spark, sf_dir):
     return windows(rows, "ts", "6 hours", "1 hour", "event_type").select(F.unix_seconds("start").alias("start"), "event_type", "count")
 
 
-@query("SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END], x -> x IS NOT NULL)) AS rule FROM customer")
+@query("SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END], lambda x: x IS NOT NULL)) AS rule FROM customer")
 def ep_rules(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
     return ep.findings(rows, {"negative": F.col("c_acctbal") < 0, "segment": F.col("c_mktsegment") == "BUILDING"})

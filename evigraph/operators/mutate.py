@@ -132,6 +132,10 @@ def _new_rel(rows: DataFrame, start: int, src, dst, kind: str, now: str) -> Data
     )
 
 
+def _without(props: F.Column, key: str) -> F.Column:
+    return F.map_filter(props, lambda k, v: k != F.lit(key))
+
+
 def _set_version(var: str, changes: list, params: dict, now: str) -> F.Column:
     """The struct of a record's next version with assignments applied; all are validated first."""
     row = F.col(var)
@@ -155,7 +159,7 @@ def _set_version(var: str, changes: list, params: dict, now: str) -> F.Column:
                     raise InvalidRequest("confidence is between 0 and 1")
                 fields["confidence"] = F.lit(float(value))
         else:
-            kept = F.map_filter(props, lambda k, v, p=ref.prop: k != F.lit(p))
+            kept = _without(props, ref.prop)
             props = F.map_concat(kept, F.create_map(F.lit(ref.prop), F.lit(encode(C.bind(value, params)))))
     return row, props, fields, now
 

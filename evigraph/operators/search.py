@@ -52,6 +52,10 @@ def lengths(docs: DataFrame, text_fields: list[str], key: str = "id") -> DataFra
     return docs.select(F.col(key).alias("doc"), total.cast("long").alias("length"))
 
 
+def _count(words: F.Column, term: str) -> F.Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def bm25(docs: DataFrame, text_fields: list[str], query: list[str], key: str = "id", boosts: dict | None = None, every: bool = True) -> DataFrame:
     """(doc, score) of the documents that hold all (or any) of the query's terms.
 
@@ -67,7 +71,7 @@ def bm25(docs: DataFrame, text_fields: list[str], query: list[str], key: str = "
         parts.append((words, boosts.get(f, 1.0)))
     counted = docs.select(
         F.col(key).alias("doc"), size.cast("double").alias("length"),
-        *[sum((F.size(F.filter(w, lambda x, t=t: x == F.lit(t))) * F.lit(b) for w, b in parts), F.lit(0.0)).alias(f"_tf{i}") for i, t in enumerate(query)],
+        *[sum((_count(w, t) * F.lit(b) for w, b in parts), F.lit(0.0)).alias(f"_tf{i}") for i, t in enumerate(query)],
     )
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"),
@@ -91,15 +95,20 @@ def phrase(docs: DataFrame, field: str, text: str, key: str = "id") -> DataFrame
     want = terms_of(text)
     if not want:
         raise InvalidRequest("an empty phrase")
-    words = term_array(F.coalesce(F.col(field), F.lit("")))
+    rows = docs.select(F.col(key).alias("doc"), F.explode(F.array(F.struct(term_array(F.coalesce(F.col(field), F.lit(""))).alias("w")))).alias("_t"))
+    # the explode of one row computes the terms once, not for every place of the lambda below
+    rows = rows.select("doc", F.col("_t.w").alias("_w")).where(F.array_contains("_w", want[0]))
     places = F.sequence(F.lit(1), F.greatest(F.size("_w") - len(want) + 1, F.lit(1)))
-    target = F.array(*[F.lit(t) for t in want])
-    return (
-        docs.select(F.col(key).alias("doc"), words.alias("_w"))
-        .where(F.array_contains("_w", want[0]))
-        .select("doc", F.size(F.filter(places, lambda i: F.slice("_w", i, len(want)) == target)).cast("long").alias("hits"))
-        .where("hits > 0")
-    )
+    return rows.select("doc", F.size(F.filter(places, lambda i: _stands(i, want))).cast("long").alias("hits")).where("hits > 0")
+
+
+def _stands(at, want: list[str]) -> F.Column:
+    """Do the terms stand at a place, one after another?"""
+    out = None
+    for n, t in enumerate(want):
+        here = F.coalesce(F.get("_w", at - 1 + n) == F.lit(t), F.lit(False))
+        out = here if out is None else out & here
+    return out
 
 
 def _terms_where(docs: DataFrame, field: str, key: str, test) -> DataFrame:
