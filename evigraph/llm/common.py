@@ -81,3 +81,9 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 def crc_bucket(column: str, parts: int):
     """crc32 of the decimal text of an id, modulo ``parts``; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """``docs`` with every column but ``used`` renamed out of the way of working columns, and the columns that undo it."""
+    names = {c: c if c in used else f"aside_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]

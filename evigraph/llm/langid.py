@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_bucket, hash_share, map_arrow, slices
+from .common import aside, crc_bucket, hash_share, map_arrow, slices
 
 WINDOW, HIDDEN = 64, 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, rows_per_language: int = 300, stretch: int = 384, steps
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` after its own columns (which must not have these names)."""
+    """``docs`` with ``lang_pred`` and ``score`` after its own columns (which must not have these names; see ``aside``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -237,7 +238,6 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 )
 
     schema = docs.schema
-    from pyspark.sql import types as T
 
     out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, out)
@@ -250,11 +250,6 @@ def held_out(docs: DataFrame):
 
 def accepted(docs: DataFrame, min_score: float = 0.3, **fitting) -> DataFrame:
     """The rows whose language is recognised (not ``und``, score of ``min_score`` or more), with the columns of ``docs``."""
-    model = fit(docs.where(~held_out(docs)), **fitting)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    seen = identify(docs.select(*columns), model) if len(columns) == len(docs.columns) else None
-    if seen is None:
-        renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)])
-        seen = identify(renamed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-        return seen.select(*[F.col(f"c{i}" if c != "text" else "text").alias(c) for i, c in enumerate(docs.columns)])
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    rows, back = aside(docs, "doc_id", "text", "lang")
+    model = fit(rows.where(~held_out(rows)), **fitting)
+    return identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*back)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, cut
 
 HEAVY, DIVISOR = 50, 3
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]"
@@ -95,27 +95,29 @@ def repeated_chunks(docs: DataFrame, heavy: int = HEAVY, divisor: int = DIVISOR)
 
 
 def dedup_lines(docs: DataFrame, heavy: int = HEAVY, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with its columns, text without repeated chunks, and n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
-    removed = repeated_chunks(docs, heavy, divisor)
-    joined = _chunked(_with_row(docs).join(removed, "_row", "left"), heavy, divisor)
-    kept = (
-        joined.withColumn("_keep", F.expr("array_except(transform(_chunks, c -> c.k), coalesce(removed, cast(array() as array<int>)))"))
-        .withColumn("_left", F.expr("flatten(transform(_keep, k -> slice(_lines, get(_chunks, k).s + 1, get(_chunks, k).e - get(_chunks, k).s)))"))
-    )
-    return kept.select(
-        *[F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_chunks").cast("long").alias("n_chunks"),
-        (F.size("_chunks") - F.size("_keep")).cast("long").alias("n_removed_chunks"),
-        (F.size("_lines") - F.size("_left")).cast("long").alias("n_removed_lines"),
-    )
+    """``docs(doc_id, text)`` with text less its repeated chunks, and n_lines, n_chunks, n_removed_chunks, n_removed_lines.
+
+    Further columns stay, whatever their names; one that has the name of a count gives way to it.
+    """
+    rows, back = aside(docs, "doc_id", "text")
+    removed = repeated_chunks(rows, heavy, divisor)
+    joined = _chunked(_with_row(rows).join(removed, "_row", "left"), heavy, divisor)
+    kept = _once(joined, _keep="array_except(transform(_chunks, c -> c.k), coalesce(removed, cast(array() as array<int>)))")
+    kept = _once(kept, _left="flatten(transform(_keep, k -> slice(_lines, get(_chunks, k).s + 1, get(_chunks, k).e - get(_chunks, k).s)))")
+    counts = {
+        "n_lines": F.size("_lines"), "n_chunks": F.size("_chunks"), "n_removed_chunks": F.size("_chunks") - F.size("_keep"),
+        "n_removed_lines": F.size("_lines") - F.size("_left"),
+    }
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")).alias("text")
+    own = [text if c == "text" else b for c, b in zip(docs.columns, back) if c not in counts]
+    return kept.select(*own, *[n.cast("long").alias(c) for c, n in counts.items()])
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs`` with repeated chunks gone from text; documents that lose all their words go too."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    done = dedup_lines(plain, **options)
-    return done.where((F.col("n_removed_chunks") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    rows, back = aside(docs, "doc_id", "text")
+    done = dedup_lines(rows, **options)
+    return done.where((F.col("n_removed_chunks") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*back)
 
 
 SQL = f"""

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, cut
 
 WEIGHTS = (3, 1, 2)
 GOLDEN = 0.6180339887498949
@@ -181,9 +181,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     times = used.where("first = 0").groupBy("doc_id", "s", "size").agg(F.count("*").alias("times"))
     named = small(targets.select("s", F.col("source").alias("name")))
     chosen = times.join(named, "s").select(F.col("doc_id").alias("of"), "name", F.col("size").alias("at"), "times")
-    rows = docs.withColumn("_size", sized_text())
+    rows, back = aside(docs, "doc_id", "text", "source")
+    rows = rows.withColumn("_size", sized_text())
     found = rows.join(chosen, F.expr("doc_id <=> of and source <=> name and _size = at"))
-    return found.withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).select(*back)
 
 
 SQL = """
