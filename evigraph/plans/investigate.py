@@ -115,7 +115,7 @@ def parse(text: str) -> Investigation:
 
 def plan(q: Investigation, capabilities: set | None = None) -> list[dict]:
     """Stages in order, each with the clause that asks for it; a stage the engine lacks is an error."""
-    stages = [("seed_selection", "OF", {"kind": q.kind, "target": q.target}), ("working_set", "implicit", {"max_depth": 3})]
+    stages = [("seed_selection", "OF", {"target_kind": q.kind, "target": q.target}), ("working_set", "implicit", {"max_depth": 3})]
     if q.at:
         stages.append(("temporal_filter", "AT TIME", {"at": q.at}))
     if q.sources is not None:
