@@ -1,8 +1,9 @@
-"""One typed predicate for both surfaces, compiled to two-valued columns.
+"""One typed predicate for both surfaces, compiled to columns.
 
 A missing property makes every leaf false (but NOT IN of the query language, which is true); values of
-other types never compare; whole numbers and floats do.  Leaves are wrapped in ``coalesce`` so
-that boolean trees stay two-valued and Catalyst can push what is left to the scan.
+other types never compare; whole numbers and floats do.  Trees of AND and OR treat a null leaf as a
+filter treats false, so plain leaves stay plain and reach the Parquet scan; only what is negated is
+wrapped in ``coalesce`` first.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ def compare(column, dtype, op: str, value) -> F.Column:
     """A comparison with a literal; false across types and for missing values."""
     a, b = kind_of(dtype), literal_kind(value)
     if a == "time" and b == "string":  # RFC 3339 text, compared as an instant so that the filter reaches the scan
-        return F.coalesce(_apply(column, op, F.to_timestamp_ntz(F.lit(value.rstrip("Z").replace("T", " ")))), F.lit(False))
+        return _apply(column, op, F.to_timestamp_ntz(F.lit(value.rstrip("Z").replace("T", " "))))
     if a == "bool" and b == "bool" and op in ("=", "<>") or a == b == "string" or a == b == "integer":
-        return F.coalesce(_apply(column, op, F.lit(value)), F.lit(False))
+        return _apply(column, op, F.lit(value))
     if {a, b} <= {"integer", "float"}:
         wide = column.cast("double") if a == "integer" else column
-        return F.coalesce(_apply(wide, op, F.lit(float(value))), F.lit(False))
+        return _apply(wide, op, F.lit(float(value)))
     return F.lit(False)
 
 
@@ -66,11 +67,11 @@ def contains(column, dtype, values: list) -> F.Column:
         same = [v for v in values if literal_kind(v) == inner]
         if not same:
             return F.lit(False)
-        return F.coalesce(F.arrays_overlap(column, F.array(*[F.lit(v).cast(dtype.elementType) for v in same])), F.lit(False))
+        return F.arrays_overlap(column, F.array(*[F.lit(v).cast(dtype.elementType) for v in same]))
     a = kind_of(dtype)
     kinds = {v for v in map(literal_kind, values)}
     if kinds == {a} and a in ("string", "integer"):
-        return F.coalesce(column.isin(values), F.lit(False))
+        return column.isin(values)
     out = F.lit(False)
     for v in values:
         out = out | compare(column, dtype, "=", v)
@@ -151,7 +152,7 @@ class Fields:
 
 
 def to_column(predicate, fields) -> F.Column:
-    """A contract predicate as a two-valued column."""
+    """A contract predicate as a column for a filter."""
     if isinstance(predicate, Group):
         out = None
         for item in predicate.items:
@@ -171,24 +172,24 @@ def to_column(predicate, fields) -> F.Column:
     present = column.isNotNull()
     if op == "nested":
         if is_list:
-            return F.coalesce(F.exists(column, lambda x: to_column(value, Fields(dtype.elementType, x))), F.lit(False))
+            return F.exists(column, lambda x: to_column(value, Fields(dtype.elementType, x)))
         return present & to_column(value, Fields(dtype, column))
     if op == "equal":
         exact = _typed_equal(column, dtype, value)
         return exact | contains(column, dtype, [value]) if is_list else exact
     if op == "not_equal":
-        return present & ~_typed_equal(column, dtype, value)
+        return present & ~F.coalesce(_typed_equal(column, dtype, value), F.lit(False))
     if op == "in":
         return contains(column, dtype, value) if is_list else _any_equal(column, dtype, value)
     if op == "not_in":
         if is_list:
-            return present & ~contains(column, dtype, value)
+            return present & ~F.coalesce(contains(column, dtype, value), F.lit(False))
         return present & ~_any_equal(column, dtype, value)
     if op == "wildcard":
         rule = wildcard(value)
         if is_list:
-            return F.coalesce(F.exists(column, lambda x: x.rlike(rule)), F.lit(False))
-        return F.coalesce(column.rlike(rule), F.lit(False)) if kind_of(dtype) == "string" else F.lit(False)
+            return F.exists(column, lambda x: x.rlike(rule))
+        return column.rlike(rule) if kind_of(dtype) == "string" else F.lit(False)
     if is_list:
         return F.lit(False)
     return compare(column, dtype, RANGES[op], value)
@@ -198,10 +199,10 @@ def _typed_equal(column, dtype, value) -> F.Column:
     """Equality of type and value: 1 and 1.0 differ here."""
     a, b = kind_of(dtype), literal_kind(value)
     if a == "list" and b == "list":
-        return F.coalesce(column == F.array(*[F.lit(v) for v in value]).cast(dtype), F.lit(False))
-    return F.coalesce(column == F.lit(value), F.lit(False)) if a == b else F.lit(False)
+        return column == F.array(*[F.lit(v) for v in value]).cast(dtype)
+    return column == F.lit(value) if a == b else F.lit(False)
 
 
 def _any_equal(column, dtype, values) -> F.Column:
     same = [v for v in values if literal_kind(v) == kind_of(dtype)]
-    return F.coalesce(column.isin(same), F.lit(False)) if same else F.lit(False)
+    return column.isin(same) if same else F.lit(False)

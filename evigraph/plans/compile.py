@@ -93,7 +93,7 @@ def condition(tree, rows: Rows, params: dict) -> F.Column:
         if not found:
             return F.lit(tree.op == "NOT_IN")
         inside = contains(*found, value)
-        return inside if tree.op == "IN" else ~inside
+        return inside if tree.op == "IN" else ~F.coalesce(inside, F.lit(False))
     return compare(*found, tree.op, value) if found else F.lit(False)
 
 
