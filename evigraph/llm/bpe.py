@@ -47,6 +47,17 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def cut_pieces(text: str) -> list[str]:
+    """A text's pieces between white space, which no token crosses.
+
+    Python also splits at four control characters that the tokenizer doesn't call white space; texts with any of
+    them are cut at spaces and line feeds only.
+    """
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [p for p in text.replace("\n", " ").split(" ") if p]
+    return text.split()
+
+
 class Pieces(dict):
     """What each piece without white space is encoded to, in two generations: a full one
     becomes the old one, from which pieces still in use are taken over.
@@ -223,9 +234,9 @@ class Bpe:
         return ids
 
     def pieces_of(self, text: str) -> list[tuple]:
-        """(ids as decimal text, decoded text, ids as 32-bit numbers) of each piece, in order; no token crosses a space or line feed."""
+        """(ids as decimal text, decoded text, ids as 32-bit numbers) of each piece, in order."""
         known = self.pieces
-        return [known[p] for p in text.replace("\n", " ").split(" ") if p]
+        return [known[p] for p in cut_pieces(text)]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join([p[2] for p in self.pieces_of(text)]), "<i4").tolist()

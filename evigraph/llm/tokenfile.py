@@ -8,7 +8,7 @@ alone skips the rest.
 
 Texts are put in order (one shuffle of texts by range, no task holds more than its range)
 before they are encoded, so what is encoded is written straight to its file.  A text's
-pieces between spaces and line feeds are remembered per worker, in bounded memory; no
+pieces between white space are remembered per worker, in bounded memory; no
 token crosses such a place.  A file's first start comes from the files' own totals.
 
 A null or empty text has the end id alone.  Rows that repeat an id follow one another,
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Pieces, read_spec
+from .bpe import Pieces, cut_pieces, read_spec
 from .common import map_arrow, new_path, slices, worker_cache
 
 #: Pieces remembered by a worker, twice: some 200 bytes each.
@@ -73,7 +73,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
             for b in slices(whole, 1000, 2 << 20):
                 rows = []
                 for text in b.column("text").to_pylist():
-                    rows.append(b"".join([*map(get, filter(None, text.replace("\n", " ").split(" "))), end]) if text else end)
+                    rows.append(b"".join([*map(get, cut_pieces(text)), end]) if text else end)
                 counts = np.array([len(r) // 4 for r in rows], np.int64)
                 ends = np.cumsum(counts)
                 ids = pa.ListArray.from_arrays(
@@ -120,7 +120,8 @@ def checked(spark: SparkSession, path: str) -> DataFrame:
             ids = b.column("ids")
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             at = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(at[:-1], at[1:])]
+            raw, edge = memoryview(np.ascontiguousarray(flat)).cast("B"), (at * 4).tolist()
+            crc = [zlib.crc32(raw[a:z]) for a, z in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("before"), b.column("file"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
                 names=["doc_id", "before", "file", "n_tokens", "ids_crc32"],
