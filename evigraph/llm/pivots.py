@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index (operator 6).
 
 Pivots are a bounded sample of the vectors (``pivots_for``: 256, more with the square root of
-the number of different vectors, at most 4096).  Every vector is described by its ``TOP``
+the number of different vectors, at most 4096), thinned so that no two lie within twice the
+threshold's angle: a tight group has one pivot however large it is, and its members do not
+choose among pivots of their own by chance.  Every vector is described by its ``TOP``
 nearest pivots; two vectors are candidates when they share two of these or more.  The
 inverted lists are therefore kept by label and pair of pivots: a pair of vectors meets in as
 many lists as they share pairs, and counts in the least of them only.
@@ -31,12 +33,33 @@ from .common import cut, map_arrow
 from .components import connected_components
 
 TOP, LIST = 5, 2048
+DRAWS = 4  # vectors drawn for a pivot wanted
 
 
 def pivots_for(n: int) -> int:
     return int(min(4096, max(256, math.sqrt(n))))
 
 
+def spread_pivots(vectors: list[list[float]], want: int, threshold: float) -> list[list[float]]:
+    """The first ``want`` vectors of which no two of a length lie within twice the threshold's angle."""
+    apart = math.cos(min(math.pi, 2 * math.acos(max(-1.0, min(1.0, threshold)))))
+    chosen: list[list[float]] = []
+    kept: dict[int, tuple[np.ndarray, int]] = {}
+    for v in vectors:
+        if len(chosen) == want:
+            break
+        unit = _unit(np.array([v], np.float64))[0]
+        table, n = kept.get(len(v), (np.empty((64, len(v))), 0))
+        if n and (table[:n] @ unit).max() >= apart:
+            continue
+        if n == len(table):
+            table = np.concatenate([table, np.empty_like(table)])
+        table[n] = unit
+        kept[len(v)] = (table, n + 1)
+        chosen.append(list(v))
+    return chosen
+
+
 def usable(rows: DataFrame):
     """Is the vector one that can link?"""
     return F.expr(
@@ -117,49 +140,40 @@ def _verify(rows, threshold: float):
     n = len(rows)
     unit = _unit(np.stack([np.frombuffer(r[5], np.float64) for r in rows]))
     g = np.array([r[2] for r in rows], np.int64)
-    c = np.array([r[3] for r in rows], np.int64)
+    c = np.array([r[3] for r in rows], np.float64)
     q = rows[0][1]
     # pivots below q other than p: a pair that shares one of these meets in a lesser list
     low = np.full((n, TOP), -9, np.int64)
     for i, r in enumerate(rows):
         below = [x for x in r[4] if x < q and x != rows[0][0]]
         low[i, : len(below)] = below
+    kinds, kind = np.unique(low, axis=0, return_inverse=True)
+    kind = kind.ravel()
+    has = (kinds[:, :, None] == np.unique(low[low >= 0])).any(1).astype(np.float32)
+    lesser = has @ has.T > 0
     apart = rows[0][6] != rows[0][7]
     side = np.array([r[8] for r in rows])
-    sums = np.zeros(n, np.int64)
+    sums = np.zeros(n, np.float64)  # of whole numbers
     label = np.arange(n)
     links = []
     for a in range(0, n, 512):
         z = min(a + 512, n)
         near = unit[a:z] @ unit[:z].T >= threshold
         near &= np.arange(z)[None, :] < np.arange(a, z)[:, None]
+        near &= ~lesser[kind[a:z]][:, kind[:z]]
         if apart:
             near &= side[a:z, None] != side[None, :z]
-        x, y = np.nonzero(near)
-        if not len(x):
-            continue
-        x = x + a
-        for s in range(0, len(x), 1 << 18):
-            u, v = x[s : s + (1 << 18)], y[s : s + (1 << 18)]
-            lesser = ((low[u][:, :, None] == low[v][:, None, :]) & (low[u] >= 0)[:, :, None]).any((1, 2))
-            u, v = u[~lesser], v[~lesser]
-            np.add.at(sums, u, c[v])
-            np.add.at(sums, v, c[u])
-            for i, others in _grouped(u, v):
-                met = np.unique(label[np.append(others, i)])
-                if len(met) > 1:
-                    links += [(int(g[met[0]]), int(g[m])) for m in met[1:]]
-                    label[np.isin(label, met[1:])] = met[0]
+        counted = near.astype(np.float64)
+        sums[a:z] += counted @ c[:z]
+        sums[:z] += c[a:z] @ counted
+        for i in np.flatnonzero(near.any(axis=1)):
+            met = np.unique(label[np.append(np.flatnonzero(near[i]), a + i)])
+            if len(met) > 1:
+                links += [(int(g[met[0]]), int(g[m])) for m in met[1:]]
+                label[np.isin(label, met[1:])] = met[0]
     return [(int(g[i]), int(sums[i])) for i in np.flatnonzero(sums)], links
 
 
-def _grouped(u, v):
-    if not len(u):
-        return
-    for part in np.split(np.arange(len(u)), np.flatnonzero(np.diff(u)) + 1):
-        yield u[part[0]], v[part]
-
-
 def _found(keyed: DataFrame, threshold: float) -> DataFrame:
     """(g, n, v): a sum for a node (v null), or a link g - v (n null)."""
     names = ["p", "q", "g", "c", "near", "vector", "i", "j", "side"]
@@ -212,8 +226,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     n = nodes.count()
     want = pivots_for(n)
     # a bounded sample, the same on every run
-    sample = nodes.select("vector", F.xxhash64("g", F.lit(17)).alias("h")).orderBy("h").limit(want).collect()
-    keyed = _keyed(nodes.select("g", "c", "label", "vector"), [list(r["vector"]) for r in sample])
+    sample = nodes.select("vector", F.xxhash64("g", F.lit(17)).alias("h")).orderBy("h").limit(DRAWS * want).collect()
+    pivots = spread_pivots([r["vector"] for r in sample], want, threshold)
+    keyed = _keyed(nodes.select("g", "c", "label", "vector"), pivots)
     found = cut(_found(_blocks(keyed), threshold))
     sums = found.where("n is not null").groupBy("g").agg(F.sum("n").alias("others"))
     groups = connected_components(found.where("v is not null").select(F.col("g").alias("u"), "v"))

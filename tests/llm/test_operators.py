@@ -384,6 +384,19 @@ def test_vectors_against_brute_force(spark):
     assert got[2000]["n_links"] == got[2001]["n_links"] >= 40 and got[3006]["component_id"] == got[7]["component_id"]
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.14])
+@pytest.mark.parametrize("pivot_count", [256, 1024])
+def test_a_large_group_keeps_its_links(spark, monkeypatch, pivot_count, spread):
+    """A third of all vectors in one tight group, at as many pivots as a small and a large table have."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(2000, 64)), rng.normal(size=64) + spread * rng.normal(size=(1000, 64))])
+    monkeypatch.setattr(pivots, "pivots_for", lambda n: pivot_count)
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.98).sum() - len(x)
+    assert 0.99 * links <= sum(r["n_links"] for r in pivots.near_vectors(docs).collect()) <= links
+
+
 def test_long_lists_are_cut_exactly(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in 1 + rng.normal(size=16) * 0.05], 0) for i in range(150)]
