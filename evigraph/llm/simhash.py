@@ -21,6 +21,7 @@ id keep their own rows; null ids stay null and count last.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .components import connected_components
 LONG = 4096
 PARTS = (3, 4, 5)
 PAIR_COST = 0.005  # of the cost of a key row
+GATE = 44  # of 128 bits; the tests compute what it loses at a similarity of 0.8
+BLOCK, SAMPLE = 512, 2000
 
 
 def _hash_bits(items, seed: int = 42) -> np.ndarray:
@@ -93,34 +96,28 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
-def signature(text: str | None, shingle: int = 5) -> tuple[int, int, int]:
-    """A fingerprint of the distinct words weighted by length, and 128 bits over the distinct shingles."""
-    w = words_of(text)
-    if not w:
-        return 0, 0, 0
-    distinct = list(dict.fromkeys(w))
-    weights = np.array([max(1, len(x) - 1) for x in distinct], np.float64)
-    s = list(dict.fromkeys(shingles(w, shingle)))
-    return (
-        _signed(_counts(distinct, 42, weights) * 2 > weights.sum()),
-        _signed(_counts(s, 1) * 2 > len(s)),
-        _signed(_counts(s, 2) * 2 > len(s)),
-    )
-
-
-def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fp, c1, c2 long)``; see :func:`signature`."""
+def shingle_set(text: str | None, shingle: int = 5) -> tuple[np.ndarray, int, int]:
+    """The distinct shingles as sorted 64-bit hashes, and the two halves of a 128-bit SimHash over them."""
+    import xxhash
 
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, 2000, 8 << 20):
-                got = np.array([signature(t.as_py(), shingle) for t in b.column("text")], np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), *(pa.array(got[:, i]) for i in range(3))],
-                    names=["doc_id", "fp", "c1", "c2"],
-                )
+    digest = xxhash.xxh3_128_digest
+    s = list(dict.fromkeys(shingles(words_of(text), shingle)))
+    if not s:
+        return np.zeros(0, np.uint64), 0, 0
+    total, own = np.zeros(128), []
+    for i in range(0, len(s), 65536):
+        raw = np.frombuffer(b"".join([digest(x, 1) for x in s[i : i + 65536]]), np.uint8).reshape(-1, 16)
+        total += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int32)
+        own.append(raw[:, :8].copy().view(np.uint64).ravel())
+    bits = total * 2 > len(s)
+    return np.unique(np.concatenate(own)), _signed(bits[:64]), _signed(bits[64:])
+
+
+def _node(hashes: np.ndarray) -> int:
+    """A signed 64-bit number for a set of shingles."""
+    import xxhash
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long, c1 long, c2 long")
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
 # ---------------------------------------------------------------- parts and thresholds
@@ -363,20 +360,178 @@ def _classes(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return cut(member.join(roots, "component").select(*[c for c in nodes.columns if c not in ("least", "node")], "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 7, check_distance: int = 23) -> DataFrame:
+# ---------------------------------------------------------------- similarity of shingle sets
+
+
+def _per_text(docs: DataFrame, names: str, rows_of) -> DataFrame:
+    """Long columns ``names``: what ``rows_of(doc_id, text)`` gives, an array with a row for each of them."""
+    columns = names.split()
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 500, 4 << 20):
+                ids, got = [], []
+                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                    part = rows_of(t.as_py())
+                    got.append(part)
+                    ids += [d] * len(part)
+                data = np.concatenate(got)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(data[:, i])) for i in range(len(columns)))],
+                    names=["doc_id", *columns],
+                )
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, ", ".join(f"{c} long" for c in ["doc_id", *columns]))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles in one order for all sets: two sets of that Jaccard similarity or more share one of theirs."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    hot = np.isin(hashes, common)  # shingles known to be common come last; any order that is the same for all would do
+    return np.concatenate([hashes[~hot], hashes[hot]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of three or more different texts of a bounded sample; they only save work."""
+    sample = docs.select("text", F.xxhash64("doc_id", F.lit(5)).alias("h")).orderBy("h").limit(SAMPLE).collect()
+    sets = [shingle_set(t, shingle)[0] for t in {r["text"] for r in sample}]
+    values, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+    return values[counts >= 3]
+
+
+def _candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of sets that share a shingle of their prefixes and have 128 bits within ``GATE``."""
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
+
+    def keys(text):
+        h, c1, c2 = shingle_set(text, shingle)
+        p = prefix(h, common.value, similarity)
+        out = np.empty((len(p), 4), np.int64)
+        out[:, 0] = p.view(np.int64)
+        out[:, 1:] = _node(h), c1, c2
+        return out
+
+    def run(batches):
+        left = None
+
+        def found(data):
+            data = data[:, np.append(True, (data[:2, 1:] != data[:2, :-1]).any(axis=0))]  # copies are one node
+            if data.shape[1] < 2:
+                us = vs = []
+            else:
+                c = data[2:].view(np.uint64)
+                us, vs = _links_in_runs(data[0], c[0], [c[0], c[1]], data[1], 64, GATE)
+            both = np.unique(np.array([us, vs], np.int64).T.reshape(-1, 2), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+        for b in batches:
+            data = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            data = data if left is None else np.concatenate([left, data], axis=1)
+            if not data.shape[1]:
+                continue
+            end = int(np.searchsorted(data[0], data[0, -1], side="left"))
+            left = data[:, end:]
+            if end:
+                yield found(np.ascontiguousarray(data[:, :end]))
+        if left is not None and left.shape[1]:
+            yield found(np.ascontiguousarray(left))
+
+    keyed = _per_text(docs, "key node c1 c2", keys).drop("doc_id").repartition("key").sortWithinPartitions("key", "node")
+    return map_arrow(keyed, run, "u long, v long")
+
+
+def _similar(nodes, sets, sides, similarity: float):
+    """Links that span the groups of sets of exact Jaccard similarity; of two sides only links between them."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    several = np.bincount(at, minlength=len(values)) > 1
+    place = np.cumsum(several) - 1
+    row, at = row[several[at]], place[at[several[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((n, n), np.float32)  # of whole numbers
+    for start in range(0, int(several.sum()), 4096):
+        a, z = np.searchsorted(at, [start, start + 4096])
+        has = np.zeros((n, 4096), np.float32)
+        has[row[a:z], at[a:z] - start] = 1
+        shared += has @ has.T
+    shared = shared.astype(np.float64)
+    near = np.tril(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9, -1)
+    if len(set(sides)) > 1:
+        near &= np.not_equal.outer(sides, sides)
+    label, us, vs = np.arange(n), [], []
+    for i in np.flatnonzero(near.any(axis=1)):
+        met = np.unique(label[np.append(np.flatnonzero(near[i]), i)])
+        us += [int(nodes[met[0]])] * (len(met) - 1)
+        vs += [int(nodes[m]) for m in met[1:]]
+        label[np.isin(label, met[1:])] = met[0]
+    return us, vs
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` of exact similarity within the groups of candidates; large groups are cut into pairs of blocks."""
+    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = (
+        nodes.join(groups, "node").join(counts, "component")
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+        .select(F.col("least").alias("of"), F.col("node").alias("wanted"), "component", "blocks", "own")
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "wanted", "component", "blocks", "own")
+
+    def sets(batches):
+        for whole in batches:
+            for b in slices(whole, 500, 4 << 20):
+                got = [shingle_set(t.as_py(), shingle)[0] for t in b.column("text")]
+                same = [i for i, (h, w) in enumerate(zip(got, b.column("wanted").to_pylist())) if _node(h) == w]
+                kept = b.take(pa.array(same, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(kept.column(c) for c in ("wanted", "component", "blocks", "own")), pa.array([got[i].tobytes() for i in same], pa.binary())],
+                    names=["node", "component", "blocks", "own", "items"],
+                )
+
+    rows = (
+        map_arrow(chosen, sets, "node long, component long, blocks int, own int, items binary")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "items")
+    )
+
+    def run(batches):
+        def out(group):
+            if len(group) < 2:
+                return None
+            us, vs = _similar(list(group), [x for x, _ in group.values()], np.array([s for _, s in group.values()]), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        at, group = None, {}
+        for b in batches:
+            columns = (b.column(b.schema.get_field_index(c)) for c in ("component", "i", "j", "own", "node", "items"))
+            for c, i, j, own, node, items in zip(*(x.to_pylist() for x in columns)):
+                if (c, i, j) != at:
+                    if (done := out(group)) is not None:
+                        yield done
+                    at, group = (c, i, j), {}
+                group[node] = (np.frombuffer(items, np.uint64), own)
+        if (done := out(group)) is not None:
+            yield done
+
+    return map_arrow(rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """All columns of ``docs``, one document of each group of near-duplicates: that of the smallest id.
 
-    Near: the fingerprints of the distinct words (weighted by length) differ in at most ``distance`` bits, found by
-    the generalised pigeonhole, and 128 bits of SimHash over the five-word shingles differ in at most
-    ``check_distance``: 23 bits stand for a cosine of cos(23 pi / 128) = 0.84, which is a Jaccard similarity of 0.73,
-    one standard error of the estimate below the similarity of 0.8 that is asked for.
+    Near: an exact Jaccard similarity of ``similarity`` or more of the sets of five-word shingles (as 64-bit hashes).
+    Sets so similar share a shingle of their prefixes; those that do and whose 128-bit SimHash differs in at most
+    ``GATE`` bits are compared exactly.
     """
-    marks = cut(signatures(docs, shingle))
-    nodes = cut(
-        marks.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("least"))
-        .withColumn("node", F.xxhash64("fp", "c1", "c2"))
-    )
-    classes = _classes(nodes, links(nodes, distance, check_distance))
+    marks = _per_text(docs, "node", lambda t: np.array([[_node(shingle_set(t, shingle)[0])]], np.int64))
+    nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(_candidates(docs, shingle, similarity))
+    classes = _classes(nodes, _verified(docs, nodes, groups, shingle, similarity))
     # a class is represented by its smallest id; ids that are null or repeated are kept once per row they stand in
     chosen = classes.select("component_id").distinct().withColumnRenamed("component_id", "doc_id")
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")

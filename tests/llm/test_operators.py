@@ -198,6 +198,54 @@ def test_keep_one_drops_copies_and_keeps_the_rest(spark, texts):
             assert any(len(shingle(t) & shingle(u)) / len(shingle(t) | shingle(u)) > 0.5 for e, u, *_ in rows if e < d) or first[t] < d
 
 
+def _edited(rng):
+    """Texts of random words with appended, truncated and scattered edits, and their exact similarity."""
+    rows, pairs = [], []
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(90):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        share = rng.choice([0.72, 0.76, 0.79, 0.81, 0.84, 0.9])
+        kind = ("appended", "truncated", "scattered")[i % 3]
+        if kind == "appended":
+            v = w + [f"x{rng.randrange(3000)}" for _ in range(round(len(w) * (1 / share - 1)))]
+        elif kind == "truncated":
+            v = w[: round(len(w) * share)]
+        else:
+            v = list(w)
+            for at in range(3, len(w), max(5, round(5 * (1 + share) / (1 - share)))):
+                v[at] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        pairs.append((2 * i + 1, jaccard(sets(w), sets(v))))
+    return rows, pairs
+
+
+def test_keep_one_finds_every_pair_of_the_similarity(spark):
+    rows, pairs = _edited(random.Random(6))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d, j in pairs if j >= 0.8]
+    assert len(near) > 30 and not kept & set(near)
+
+
+def test_gate_loses_next_to_nothing():
+    """Chance that sets of a similarity of 0.8 differ in more bits than the gate, by enumeration over small sets."""
+    from math import comb
+
+    def half(n):
+        return np.array([comb(n, k) for k in range(n + 1)], float) / 2.0**n
+
+    worst = 0.0
+    for both in range(4, 81):
+        for a in range(0, both // 4 + 1):
+            b = both // 4 - a
+            common, pa, pb = half(both), half(a), half(b)
+            k = np.arange(both + 1)
+            up_a = sum(p * (2 * (k + i) > both + a) for i, p in enumerate(pa))
+            up_b = sum(p * (2 * (k + i) > both + b) for i, p in enumerate(pb))
+            worst = max(worst, float((common * (up_a * (1 - up_b) + up_b * (1 - up_a))).sum()))
+    assert sum(comb(128, k) * worst**k * (1 - worst) ** (128 - k) for k in range(simhash.GATE + 1, 129)) < 1e-3
+
+
 # ---------------------------------------------------------------- lines, mixing: the SQL on small tables
 
 
