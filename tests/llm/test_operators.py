@@ -227,6 +227,25 @@ def test_keep_one_finds_every_pair_of_the_similarity(spark):
     assert len(near) > 30 and not kept & set(near)
 
 
+def test_keep_one_keeps_what_is_less_similar(spark):
+    rows, pairs = _edited(random.Random(7))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart = [d for d, j in pairs if j < 0.8]
+    assert len(apart) > 30 and set(apart) <= kept and {d - 1 for d, _ in pairs} <= kept
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def test_gate_loses_next_to_nothing():
     """Chance that sets of a similarity of 0.8 differ in more bits than the gate, by enumeration over small sets."""
     from math import comb
