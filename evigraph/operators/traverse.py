@@ -158,6 +158,6 @@ def cyclic_edges(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         left = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("id", "src", "dst"))
         now = left.count()
         if now == n:
-            break
+            return left
         n = now
-    return left
+    raise RuntimeError("peeling of cyclic edges did not settle")

@@ -149,6 +149,13 @@ def test_walks(spark):
     assert {r["id"] for r in tr.cyclic_edges(loop).collect()} == {"3", "5", "8"}
 
 
+def test_cyclic_edges_raises_when_rounds_run_out(spark):
+    chain = spark.createDataFrame([(str(i), i, i + 1) for i in range(8)], "id string, src long, dst long")
+    assert tr.cyclic_edges(chain).count() == 0
+    with pytest.raises(RuntimeError):
+        tr.cyclic_edges(chain, rounds=2)
+
+
 def test_search_modes_and_relevance(spark):
     docs = spark.createDataFrame([(1, "Red river", "the river runs red"), (2, "Blue", "a quiet red river bank"), (3, "Other", "nothing to see"), (4, None, None)], "id long, name string, body string")
     hits = lambda *a, **k: [r["doc"] for r in se.search(docs, ["name", "body"], *a, **k).collect()]
