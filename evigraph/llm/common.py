@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
@@ -18,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: ``spark.checkpoint.dir``, or one made here where it is unset (tests)."""
+    """The folder all nodes share: ``spark.checkpoint.dir``, or the checkpoint folder that was set.
+
+    Where neither is set a folder beside the warehouse is taken, which a cluster's nodes share as well.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -87,3 +89,39 @@ def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
     """``docs`` with every column but ``used`` renamed out of the way of working columns, and the columns that undo it."""
     names = {c: c if c in used else f"aside_{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it from there on."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def block_pairs(rows: DataFrame, keys: list[str], limit, by: str) -> DataFrame:
+    """Adds (i, j, side) for comparing the rows of equal ``keys`` within one task.
+
+    Keys of at most ``limit`` rows stay whole: (0, 0, 0).  The rows of a larger one are dealt to blocks by a hash of
+    ``by`` and every pair of blocks i <= j becomes a key of its own, so that each pair of rows still meets; where
+    i < j, ``side`` tells the two blocks apart and pairs of one side belong to another key.
+    """
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    sizes = (
+        rows.withColumn("limit", limit).groupBy(*keys).agg(F.count("*").alias("n"), F.max("limit").alias("limit")).where("n > limit")
+        .select(*[F.col(k).alias(f"long_{k}") for k in keys], F.ceil(F.col("n") / F.col("limit")).cast("int").alias("blocks"))
+    )
+    sizes = cut(sizes)
+    if sizes.isEmpty():
+        return rows.select("*", *[F.lit(0).alias(c) for c in ("i", "j", "side")])
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"long_{k}"))
+        same = one if same is None else same & one
+    return (
+        rows.join(sizes, same, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64(by, F.lit(3)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        .withColumn("side", F.when(F.col("own") == F.col("i"), 0).otherwise(1))
+        .drop("own", "other", "blocks", *[f"long_{k}" for k in keys])
+    )

@@ -3,21 +3,26 @@
 Pivots are a bounded sample of the vectors (``pivots_for``: 256, more with the square root of
 the number of different vectors, at most 4096), thinned so that no two lie within twice the
 threshold's angle: a tight group has one pivot however large it is, and its members do not
-choose among pivots of their own by chance.  Every vector is described by its ``TOP``
-nearest pivots; two vectors are candidates when they share two of these or more.  The
-inverted lists are therefore kept by label and pair of pivots: a pair of vectors meets in as
-many lists as they share pairs, and counts in the least of them only.
-
-Equal vectors of a label are one node with a count, so copies cost nothing.  Lists are runs of
-sorted rows, verified by blocks of matrix products in double precision; a list yields a sum for each
-node and links that span its groups, never its pairs.  A list of more than ``LIST`` rows is cut
-into blocks, and each pair of blocks is a list of its own, in another task if need be.
+choose among pivots of their own by chance.  Every vector is described by its permutation: its
+``TOP`` nearest pivots, nearest first.  The inverted list of a pivot, of one label and one length,
+holds the vectors that have it among their ``LISTED`` nearest.  Two vectors of a list are
+candidates when their permutations share ``SHARED`` pivots or more, and are compared in the list
+of the least listed pivot that both have, so once.
+
+Equal vectors of a label are one node with a count, so copies cost nothing.  Nodes are grouped by the
+values themselves; hashes only join them back to their rows, after a count has shown that no two
+nodes have the same.  Lists are runs of sorted rows; shared pivots are counted by products of
+indicator blocks, candidates compared in double precision.  A list yields a sum for each
+node and links that span its groups, never its pairs.  A list of more than ``LIST`` rows or
+``LIST_BYTES`` of vectors is cut into blocks, and each pair of blocks is a list of its own, in another task if need be.
 
 The index holds every vector; only the choice of candidates is approximate (recall against
-brute force is measured in the tests).  Links are never below the threshold.
+brute force is measured in the tests at two sizes).  Links are never below the threshold.
 
 Null labels, null or empty vectors, zero vectors and ones with null or non-finite components link
-with nothing.  Vectors of different lengths never link.  Rows that repeat an id are vectors of their own.
+with nothing.  Vectors of different lengths never link.  Rows that repeat an id are vectors of their
+own.  Pivots equally near count by their number.  Other columns of ``rows`` are not read, so their
+names cannot clash; an empty table gives no rows; a vector of any length is compared whole.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import block_pairs, cut, map_arrow
 from .components import connected_components
 
-TOP, LIST = 5, 2048
+TOP, LISTED, SHARED = 8, 3, 3
+LIST, LIST_BYTES = 8192, 4 << 20  # rows of a list that stays whole, and of their vectors in double precision
 DRAWS = 4  # vectors drawn for a pivot wanted
+WIDTH = 256  # columns of an indicator block
 
 
 def pivots_for(n: int) -> int:
@@ -70,119 +77,123 @@ def usable(rows: DataFrame):
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]  # squares of very large or small numbers stay finite
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-def _matrix(column) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in column.to_pylist()]
+def permutations(vectors: np.ndarray, numbers: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The numbers of each vector's ``TOP`` nearest pivots, nearest first, the lesser number first of equals; -1 where there are fewer."""
+    out = np.full((len(vectors), TOP), -1, np.int16)
+    k = min(TOP, len(numbers))
+    if k:
+        close = -(vectors @ units.T)
+        out[:, :k] = numbers[np.argsort(close, axis=1, kind="stable")[:, :k]]
+    return out
 
 
-def _keyed(nodes: DataFrame, pivots: list[list[float]]) -> DataFrame:
-    """(key, g, c, near, vector): a row for each pair of a node's nearest pivots."""
+def _described(nodes: DataFrame, pivots: list[list[float]], wide: bool) -> DataFrame:
+    """(g, c, label, dim, perm, listed, vector): permutations as bytes of int16, vectors as bytes."""
+    kind = np.float64 if wide else np.float32
     by_size: dict[int, list] = {}
     for i, p in enumerate(pivots):
         by_size.setdefault(len(p), []).append((i, p))
     shared = nodes.sparkSession.sparkContext.broadcast(
-        {n: (np.array([i for i, _ in ps], np.int64), _unit(np.array([p for _, p in ps], np.float64))) for n, ps in by_size.items()}
+        {n: (np.array([i for i, _ in ps], np.int16), _unit(np.array([p for _, p in ps], np.float64))) for n, ps in by_size.items()}
     )
 
     def run(batches):
-        import xxhash
-
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                g, c = b.column("g").to_pylist(), b.column("c").to_pylist()
-                labels = b.column("label").to_pylist()
-                rows = []
-                for i, v in enumerate(_matrix(b.column("vector"))):
-                    numbers, units = shared.value.get(len(v), (np.zeros(0, np.int64), None))
-                    if len(numbers) == 0:
-                        near = []
-                    else:
-                        close = units @ v
-                        near = sorted(numbers[np.lexsort((numbers, -close))[:TOP]].tolist())
-                    if len(near) < 2:  # fewer than two pivots of this length: one list of the label
-                        near = [-2, -1]
-                    for x in range(len(near)):
-                        for y in range(x + 1, len(near)):
-                            name = f"{labels[i]} {len(v)} {near[x]} {near[y]}"
-                            rows.append((xxhash.xxh64_intdigest(name) - (1 << 63), near[x], near[y], g[i], c[i], near, v.tobytes()))
-                cols = list(zip(*rows)) if rows else [()] * 7
+                column = b.column("vector")
+                sizes = np.diff(column.offsets.to_numpy(zero_copy_only=False))
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                perms, vectors = [None] * len(sizes), [None] * len(sizes)
+                for n in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == n)
+                    v = flat[(ends[rows] - n)[:, None] + np.arange(n)].astype(kind)
+                    numbers, units = shared.value.get(int(n), (np.zeros(0, np.int16), np.zeros((0, n))))
+                    for r, p, x in zip(rows, permutations(_unit(v.astype(np.float64)), numbers, units), v):
+                        perms[r], vectors[r] = p, x.tobytes()
+                listed = [p[:LISTED][p[:LISTED] >= 0].tolist() or [-1] for p in perms]  # no pivot of the length: one list of the label
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()),
-                     pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int32())), pa.array(cols[6], pa.binary())],
-                    names=["key", "p", "q", "g", "c", "near", "vector"],
+                    [b.column("g"), b.column("c"), b.column("label"), pa.array(sizes, pa.int32()), pa.array([p.tobytes() for p in perms], pa.binary()),
+                     pa.array(listed, pa.list_(pa.int16())), pa.array(vectors, pa.binary())],
+                    names=["g", "c", "label", "dim", "perm", "listed", "vector"],
                 )
 
-    return map_arrow(nodes, run, "key long, p int, q int, g long, c long, near array<int>, vector binary")
-
-
-def _blocks(keyed: DataFrame) -> DataFrame:
-    """Adds (i, j, side): whole lists are (0, 0); long ones are cut into pairs of blocks i <= j."""
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST))
-    if sizes.isEmpty():
-        return keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("side", F.lit(0))
-    cuts = sizes.select(F.col("key").alias("long_key"), F.ceil(F.col("n") / LIST).cast("int").alias("blocks"))
-    rows = keyed.join(cuts, F.col("key") == F.col("long_key"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("g", F.lit(3)), F.col("blocks")).cast("int")
-    return (
-        rows.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        .withColumn("side", F.when(F.col("own") == F.col("i"), 0).otherwise(1))
-        .drop("own", "other", "blocks", "long_key")
-    )
-
-
-def _verify(rows, threshold: float):
-    """Sums and spanning links of one list: rows of (p, q, g, c, near, vector, i, j, side)."""
-    n = len(rows)
-    unit = _unit(np.stack([np.frombuffer(r[5], np.float64) for r in rows]))
-    g = np.array([r[2] for r in rows], np.int64)
-    c = np.array([r[3] for r in rows], np.float64)
-    q = rows[0][1]
-    # pivots below q other than p: a pair that shares one of these meets in a lesser list
-    low = np.full((n, TOP), -9, np.int64)
-    for i, r in enumerate(rows):
-        below = [x for x in r[4] if x < q and x != rows[0][0]]
-        low[i, : len(below)] = below
-    kinds, kind = np.unique(low, axis=0, return_inverse=True)
-    kind = kind.ravel()
-    has = (kinds[:, :, None] == np.unique(low[low >= 0])).any(1).astype(np.float32)
-    lesser = has @ has.T > 0
-    apart = rows[0][6] != rows[0][7]
-    side = np.array([r[8] for r in rows])
+    label = nodes.schema["label"].dataType.simpleString()
+    return map_arrow(nodes.select("g", "c", "label", "vector"), run, f"g long, c long, label {label}, dim int, perm binary, listed array<short>, vector binary")
+
+
+def _indicators(perm: np.ndarray) -> np.ndarray:
+    """Rows of how often each column's pivots occur: products are never less than the number of pivots shared."""
+    out, rows = np.zeros((len(perm), WIDTH), np.float32), np.arange(len(perm))
+    for k in range(perm.shape[1]):
+        has = perm[:, k] >= 0
+        out[rows[has], perm[has, k] % WIDTH] += 1
+    return out
+
+
+def _verify(p: int, unit, perm, g, c, side, threshold: float):
+    """Sums and spanning links of one list; of two sides only pairs between them."""
+    n = len(unit)
+    listed = perm[:, :LISTED]
+    before = np.where((listed >= 0) & (listed < p), listed, -1)
+    marks = _indicators(perm)
+    need = SHARED if p >= 0 else 0
+    # rows with fewer pivots than are to be shared: few pivots there are, so all are candidates
+    few = (perm >= 0).sum(axis=1) < TOP
+    two = side.min() != side.max()
     sums = np.zeros(n, np.float64)  # of whole numbers
-    label = np.arange(n)
-    links = []
+    label, links = np.arange(n), []
     for a in range(0, n, 512):
         z = min(a + 512, n)
-        near = unit[a:z] @ unit[:z].T >= threshold
-        near &= np.arange(z)[None, :] < np.arange(a, z)[:, None]
-        near &= ~lesser[kind[a:z]][:, kind[:z]]
-        if apart:
-            near &= side[a:z, None] != side[None, :z]
-        counted = near.astype(np.float64)
-        sums[a:z] += counted @ c[:z]
-        sums[:z] += c[a:z] @ counted
-        for i in np.flatnonzero(near.any(axis=1)):
-            met = np.unique(label[np.append(np.flatnonzero(near[i]), a + i)])
-            if len(met) > 1:
-                links += [(int(g[met[0]]), int(g[m])) for m in met[1:]]
-                label[np.isin(label, met[1:])] = met[0]
+        met = marks[a:z] @ marks[:z].T >= need
+        met |= few[a:z, None] & few[None, :z]
+        for x in range(LISTED):
+            for y in range(LISTED):
+                met &= (before[a:z, x][:, None] != before[None, :z, y]) | (before[a:z, x] < 0)[:, None]
+        met &= np.arange(z)[None, :] < np.arange(a, z)[:, None]
+        if two:
+            met &= side[a:z, None] != side[None, :z]
+        i, j = np.nonzero(met)
+        if len(i) * 8 < met.size:
+            for s in range(0, len(i), 65536):
+                e = slice(s, s + 65536)
+                met[i[e], j[e]] = np.einsum("ij,ij->i", unit[a + i[e]], unit[j[e]]) >= threshold
+        else:
+            met &= unit[a:z] @ unit[:z].T >= threshold
+        i, j = np.nonzero(met)
+        if not len(i):
+            continue
+        sums += np.bincount(a + i, c[j], minlength=n)
+        sums += np.bincount(j, c[a + i], minlength=n)
+        for r in np.unique(i):
+            around = np.unique(label[np.append(np.flatnonzero(met[r]), a + r)])
+            if len(around) > 1:
+                links += [(int(g[around[0]]), int(g[m])) for m in around[1:]]
+                label[np.isin(label, around[1:])] = around[0]
     return [(int(g[i]), int(sums[i])) for i in np.flatnonzero(sums)], links
 
 
-def _found(keyed: DataFrame, threshold: float) -> DataFrame:
+def _found(lists: DataFrame, threshold: float, wide: bool) -> DataFrame:
     """(g, n, v): a sum for a node (v null), or a link g - v (n null)."""
-    names = ["p", "q", "g", "c", "near", "vector", "i", "j", "side"]
+    names = ["p", "dim", "g", "c", "perm", "vector", "side"]
+    kind = np.float64 if wide else np.float32
+    keys = ["label", "dim", "p", "i", "j"]
 
     def run(batches):
-        def out(group):
-            if len(group) < 2:
+        def out(parts):
+            rows = pa.Table.from_batches(parts)
+            if rows.num_rows < 2:
                 return None
-            sums, links = _verify(group, threshold)
+            dim, p = rows.column("dim")[0].as_py(), rows.column("p")[0].as_py()
+            vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+            perm = np.frombuffer(b"".join(rows.column("perm").to_pylist()), np.int16).reshape(-1, TOP)
+            g, c, side = (rows.column(x).to_numpy() for x in ("g", "c", "side"))
+            sums, links = _verify(p, _unit(vectors), perm, g, c.astype(np.float64), side, threshold)
             if not sums:
                 return None
             return pa.RecordBatch.from_arrays(
@@ -194,52 +205,59 @@ def _found(keyed: DataFrame, threshold: float) -> DataFrame:
                 names=["g", "n", "v"],
             )
 
-        at, group = None, []
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
-                keys = zip(b.column("key").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist())
-                for k, row in zip(keys, zip(*(b.column(x).to_pylist() for x in names))):
-                    if k != at:
-                        if (done := out(group)) is not None:
-                            yield done
-                        at, group = k, []
-                    group.append(row)
-        if (done := out(group)) is not None:
+        at, parts = None, []
+        for b in batches:
+            columns = [b.column(x).to_pylist() for x in keys]
+            starts = [r for r in range(b.num_rows) if r == 0 or any(x[r] != x[r - 1] for x in columns)]
+            for start, stop in zip(starts, [*starts[1:], b.num_rows]):
+                key = tuple(x[start] for x in columns)
+                if key != at:
+                    if parts and (done := out(parts)) is not None:
+                        yield done
+                    at, parts = key, []
+                parts.append(b.select(names).slice(start, stop - start))
+        if parts and (done := out(parts)) is not None:
             yield done
 
-    parts = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(parts.select("key", *names), run, "g long, n long, v long")
+    placed = lists.repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(placed.select(*keys, *[x for x in names if x not in keys]), run, "g long, n long, v long")
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``rows(vec_id, embedding, label)`` to ``(vec_id, n_links, component_id, kept)``, one row each."""
-    marked = rows.select("vec_id", "embedding", "label").withColumn(
-        "g", F.when(usable(rows), F.xxhash64("label", "embedding"))
-    )
+    wide = "float" not in rows.schema["embedding"].dataType.simpleString()
+    same = [F.xxhash64(F.lit(s), "label", "embedding").alias(f"h{s}") for s in (1, 2)]
+    marked = rows.select("vec_id", "label", F.when(usable(rows), F.col("embedding")).alias("embedding"))
     nodes = cut(
-        marked.where("g is not null").groupBy("g").agg(
-            F.min("vec_id").alias("least"), F.count("*").alias("c"), F.min("label").alias("label"),
-            F.first("embedding").alias("vector"),
-        )
+        marked.where("embedding is not null").groupBy("label", F.col("embedding").alias("vector"))
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("c"))
+        .withColumn("g", F.monotonically_increasing_id())
     )
     n = nodes.count()
     want = pivots_for(n)
     # a bounded sample, the same on every run
-    sample = nodes.select("vector", F.xxhash64("g", F.lit(17)).alias("h")).orderBy("h").limit(DRAWS * want).collect()
+    sample = nodes.select("vector", F.xxhash64(F.lit(17), "label", "vector").alias("h")).orderBy("h").limit(DRAWS * want).collect()
     pivots = spread_pivots([r["vector"] for r in sample], want, threshold)
-    keyed = _keyed(nodes.select("g", "c", "label", "vector"), pivots)
-    found = cut(_found(_blocks(keyed), threshold))
+    lists = _described(nodes, pivots, wide).withColumn("p", F.explode("listed")).drop("listed")
+    limit = F.greatest(F.lit(1), F.least(F.lit(LIST), F.floor(F.lit(LIST_BYTES) / (F.lit(8) * F.col("dim")))))
+    found = cut(_found(block_pairs(lists, ["label", "dim", "p"], limit, "g"), threshold, wide))
     sums = found.where("n is not null").groupBy("g").agg(F.sum("n").alias("others"))
     groups = connected_components(found.where("v is not null").select(F.col("g").alias("u"), "v"))
-    member = nodes.select("g", "least", "c").join(groups, nodes["g"] == groups["node"], "left").join(sums, "g", "left").withColumn(
+    nodes = nodes.withColumnRenamed("vector", "embedding")
+    member = nodes.select("g", "least", "c", *same).join(groups, nodes["g"] == groups["node"], "left").join(sums, "g", "left").withColumn(
         "component", F.coalesce("component", "g")
     )
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = cut(
-        member.join(least, "component").select("g", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    counted = member.join(least, "component").select(
+        "g", "h1", "h2", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"
     )
-    return marked.select("vec_id", F.col("g").alias("of")).join(classes, F.col("of") == F.col("g"), "left").select(
+    classes = cut(counted)
+    names = ["h1", "h2"]
+    if not classes.groupBy("h1", "h2").count().where("count > 1").isEmpty():  # by the values then
+        classes = classes.join(nodes.select("g", "label", "embedding"), "g")
+        names += ["label", "embedding"]
+    marked = marked.select("*", *[F.when(F.col("embedding").isNotNull(), h).alias(f"h{s}") for s, h in zip((1, 2), same)])
+    return marked.join(classes, names, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
