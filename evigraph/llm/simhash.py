@@ -11,11 +11,11 @@ of its bits: fingerprints within t of one another on the part share such a key.
 
 Keys are sorted, so a bucket is a run of rows; a run is verified block by block with
 numpy and yields a spanning forest of its links, never its pairs.  Runs beyond
-``LONG`` are cut by exact 16-bit quarters of the fingerprint first, which loses no
-link within a distance of 3 and is left out beyond it.
+``LONG`` are cut into blocks whose pairs are keys of their own, at any distance.
 
 Empty or null texts have fingerprint zero and link like any other; rows that repeat an
-id keep their own rows; null ids stay null and count last.
+id keep their own rows; null ids stay null and count last.  Texts of any length count whole.
+Only doc_id and text are read, so other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices
+from .common import aside, block_pairs, cut, map_arrow, slices, stored
 from .components import connected_components
 
-LONG = 4096
+LONG = 8192
 PARTS = (3, 4, 5)
 PAIR_COST = 0.005  # of the cost of a key row
 GATE = 44  # of 128 bits; the tests compute what it loses at a similarity of 0.8
-BLOCK, SAMPLE = 512, 2000
+BLOCK, BLOCK_ITEMS = 512, 2 << 20  # sets compared in one task, and their shingles
+SAMPLE = 2000
 
 
 def _hash_bits(items, seed: int = 42) -> np.ndarray:
@@ -113,13 +114,6 @@ def shingle_set(text: str | None, shingle: int = 5) -> tuple[np.ndarray, int, in
     return np.unique(np.concatenate(own)), _signed(bits[:64]), _signed(bits[64:])
 
 
-def _node(hashes: np.ndarray) -> int:
-    """A signed 64-bit number for a set of shingles."""
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
-
-
 # ---------------------------------------------------------------- parts and thresholds
 
 
@@ -245,33 +239,60 @@ def choose_plan(prints: DataFrame, distance: int, parts=PARTS) -> list[tuple[lis
 
 
 def _forest(fp: np.ndarray, checks: np.ndarray, ids: np.ndarray, distance: int, check_distance: int):
-    """Links that span each group of linked rows of one run, found block by block."""
+    """Links that span each group of linked rows of one run.
+
+    Rows of one group need no comparison with one another: a few rows are held against all first, and then only
+    rows outside the largest group found so far, block by block.
+    """
     n = len(fp)
     label = np.arange(n)
     us, vs = [], []
-    for a in range(0, n, 256):
-        z = min(a + 256, n)
-        near = np.bitwise_count(fp[a:z, None] ^ fp[None, :z]) <= distance
+
+    def near(rows, others):
+        got = np.bitwise_count(fp[rows][:, None] ^ fp[others][None]) <= distance
         if len(checks):
-            apart = sum(np.bitwise_count(c[a:z, None] ^ c[None, :z]).astype(np.int32) for c in checks)
-            near &= apart <= check_distance
-        near &= np.arange(z)[None, :] < np.arange(a, z)[:, None]
-        for i in np.nonzero(near.any(axis=1))[0]:
-            met = np.unique(label[np.append(np.nonzero(near[i])[0], a + i)])
-            if len(met) > 1:
-                us += [ids[met[0]]] * (len(met) - 1)
-                vs += list(ids[met[1:]])
-                label[np.isin(label, met[1:])] = met[0]
+            got &= sum(np.bitwise_count(c[rows][:, None] ^ c[others][None]).astype(np.int32) for c in checks) <= check_distance
+        return got
+
+    def unite(row, with_rows):
+        met = np.unique(label[np.append(with_rows, row)])
+        if len(met) > 1:
+            us.extend([ids[met[0]]] * (len(met) - 1))
+            vs.extend(ids[met[1:]])
+            label[np.isin(label, met[1:])] = met[0]
+
+    everyone, tried = np.arange(n), np.zeros(n, bool)
+    if n > 512:
+        for _ in range(16):
+            values, counts = np.unique(label, return_counts=True)
+            outside = np.flatnonzero((label != values[counts.argmax()]) & ~tried)
+            if not len(outside):
+                break
+            row = outside[0]
+            tried[row] = True
+            unite(row, np.flatnonzero(near(np.array([row]), everyone)[0]))
+        values, counts = np.unique(label, return_counts=True)
+        largest = label == values[counts.argmax()]
+        rest, inside = np.flatnonzero(~largest), np.flatnonzero(largest)
+        everyone = np.concatenate([rest, inside])  # rest x all, with the rest's own pairs once
+    else:
+        rest = everyone
+    for a in range(0, len(rest), 256):
+        z = min(a + 256, len(rest))
+        met = near(rest[a:z], everyone)
+        met &= (np.arange(n)[None, :] < np.arange(a, z)[:, None]) | (np.arange(n) >= len(rest))[None, :]
+        for i in np.nonzero(met.any(axis=1))[0]:
+            unite(rest[a + i], everyone[np.nonzero(met[i])[0]])
     return us, vs
 
 
-def _links_in_runs(key, fp, checks, ids, distance, check_distance):
-    """Links within runs of equal keys (sorted)."""
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(starts, len(key)))
+def _links_in_runs(run, fp, checks, ids, distance, check_distance):
+    """Links within runs of equal numbers (in sequence)."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    sizes = np.diff(np.append(starts, len(run)))
     us, vs = [], []
     small = np.repeat(sizes <= 16, sizes)
-    k, f, i, c = key[small], fp[small], ids[small], [x[small] for x in checks]
+    k, f, i, c = run[small], fp[small], ids[small], [x[small] for x in checks]
     for s in range(1, 16):
         if len(k) <= s:
             break
@@ -285,40 +306,22 @@ def _links_in_runs(key, fp, checks, ids, distance, check_distance):
         vs += list(i[ok + s])
     for a, n in zip(starts[sizes > 16], sizes[sizes > 16]):
         rows = slice(a, a + n)
-        if n > LONG and distance <= 3:
-            for q in range(4):
-                chunk = (fp[rows] >> np.uint64(16 * q)) & np.uint64(0xFFFF)
-                order = np.argsort(chunk, kind="stable")
-                cuts = np.flatnonzero(np.diff(chunk[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part) > 1:
-                        got = _forest(fp[rows][part], [x[rows][part] for x in checks], ids[rows][part], distance, check_distance)
-                        us += got[0]
-                        vs += got[1]
-        else:
-            got = _forest(fp[rows], [x[rows] for x in checks], ids[rows], distance, check_distance)
-            us += got[0]
-            vs += got[1]
+        got = _forest(fp[rows], [x[rows] for x in checks], ids[rows], distance, check_distance)
+        us += got[0]
+        vs += got[1]
     return us, vs
 
 
-def links(prints: DataFrame, distance: int, check_distance: int = 0, parts=PARTS) -> DataFrame:
-    """``prints(fp, node[, c1, c2])``, one row a node, to links ``(u, v)`` that span the groups of near fingerprints.
-
-    With ``c1`` and ``c2`` a link also needs these 128 bits to differ in at most ``check_distance``.
-    """
-    checks = [c for c in ("c1", "c2") if c in prints.columns]
-    plan = choose_plan(prints, distance, parts)
-    carry = ["node", *checks]
+def _run_links(keyed: DataFrame, checks: list[str], distance: int, check_distance: int) -> DataFrame:
+    """``keyed(key, fp, node, checks...)`` to links ``(u, v)`` within equal keys; long runs are cut into pairs of blocks."""
+    names = ["key", "i", "j", "node", "fp", *checks]
 
     def run(batches):
-        names = ["key", "fp", *carry]
         left = None
 
-        def found(data):
-            us, vs = _links_in_runs(
-                data[0], data[1].view(np.uint64), [x.view(np.uint64) for x in data[3:]], data[2], distance, check_distance
-            )
+        def found(data, runs):
+            c = [x.view(np.uint64) for x in data[4:]]
+            us, vs = _links_in_runs(runs, c[0], c[1:], data[3], distance, check_distance)
             both = np.unique(np.array([us, vs], np.int64).T.reshape(-1, 2), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
@@ -328,15 +331,26 @@ def links(prints: DataFrame, distance: int, check_distance: int = 0, parts=PARTS
                 data = [np.concatenate(x) for x in zip(left, data)]
             if len(data[0]) == 0:
                 continue
-            end = int(np.searchsorted(data[0], data[0][-1], side="left"))
+            runs = np.append(0, np.cumsum(np.any([x[1:] != x[:-1] for x in data[:3]], axis=0)))
+            end = int(np.searchsorted(runs, runs[-1]))
             left = [x[end:] for x in data]
             if end:
-                yield found([x[:end] for x in data])
+                yield found([x[:end] for x in data], runs[:end])
         if left is not None and len(left[0]):
-            yield found(left)
+            yield found(left, np.zeros(len(left[0]), np.int64))
 
-    keyed = _key_rows(prints, plan, carry).repartition("key").sortWithinPartitions("key")
-    return map_arrow(keyed, run, "u long, v long")
+    rows = block_pairs(keyed, ["key"], LONG, "node")
+    return map_arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*names), run, "u long, v long")
+
+
+def links(prints: DataFrame, distance: int, check_distance: int = 0, parts=PARTS) -> DataFrame:
+    """``prints(fp, node[, c1, c2])``, one row a node, to links ``(u, v)`` that span the groups of near fingerprints.
+
+    With ``c1`` and ``c2`` a link also needs these 128 bits to differ in at most ``check_distance``.
+    """
+    checks = [c for c in ("c1", "c2") if c in prints.columns]
+    plan = choose_plan(prints, distance, parts)
+    return _run_links(_key_rows(prints, plan, ["node", *checks]), checks, distance, check_distance)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
@@ -363,27 +377,6 @@ def _classes(nodes: DataFrame, found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- similarity of shingle sets
 
 
-def _per_text(docs: DataFrame, names: str, rows_of) -> DataFrame:
-    """Long columns ``names``: what ``rows_of(doc_id, text)`` gives, an array with a row for each of them."""
-    columns = names.split()
-
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, 500, 4 << 20):
-                ids, got = [], []
-                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                    part = rows_of(t.as_py())
-                    got.append(part)
-                    ids += [d] * len(part)
-                data = np.concatenate(got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(data[:, i])) for i in range(len(columns)))],
-                    names=["doc_id", *columns],
-                )
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, ", ".join(f"{c} long" for c in ["doc_id", *columns]))
-
-
 def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """The first of a set's shingles in one order for all sets: two sets of that Jaccard similarity or more share one of theirs."""
     n = len(hashes)
@@ -401,49 +394,50 @@ def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return values[counts >= 3]
 
 
-def _candidates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``(u, v)`` that span the groups of sets that share a shingle of their prefixes and have 128 bits within ``GATE``."""
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
+def _marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, t, n1, n2, c1, c2, size, keys) of every row, written once.
 
-    def keys(text):
-        h, c1, c2 = shingle_set(text, shingle)
-        p = prefix(h, common.value, similarity)
-        out = np.empty((len(p), 4), np.int64)
-        out[:, 0] = p.view(np.int64)
-        out[:, 1:] = _node(h), c1, c2
-        return out
+    t: a hash of the text that tells rows of one id apart; n1, n2: 128-bit digest of the set; c1, c2: its SimHash; keys: its prefix.
+    """
+    import xxhash
+
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
 
     def run(batches):
-        left = None
+        for whole in batches:
+            for b in slices(whole, 500, 4 << 20):
+                own, size, keys = [], [], []
+                for text in b.column("text"):
+                    h, c1, c2 = shingle_set(text.as_py(), shingle)
+                    n = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), 7), np.int64)
+                    own.append((n[0], n[1], c1, c2))
+                    size.append(len(h))
+                    keys.append(prefix(h, common.value, similarity).view(np.int64))
+                own = np.array(own, np.int64).reshape(-1, 4)
+                ends = np.append(0, np.cumsum([len(x) for x in keys]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("t"), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(4)), pa.array(size, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+                    names=["doc_id", "t", "n1", "n2", "c1", "c2", "size", "keys"],
+                )
 
-        def found(data):
-            data = data[:, np.append(True, (data[:2, 1:] != data[:2, :-1]).any(axis=0))]  # copies are one node
-            if data.shape[1] < 2:
-                us = vs = []
-            else:
-                c = data[2:].view(np.uint64)
-                us, vs = _links_in_runs(data[0], c[0], [c[0], c[1]], data[1], 64, GATE)
-            both = np.unique(np.array([us, vs], np.int64).T.reshape(-1, 2), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("t"))
+    schema = "doc_id long, t long, n1 long, n2 long, c1 long, c2 long, size long, keys array<long>"
+    return stored(map_arrow(texts, run, schema), "marks")
 
-        for b in batches:
-            data = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            data = data if left is None else np.concatenate([left, data], axis=1)
-            if not data.shape[1]:
-                continue
-            end = int(np.searchsorted(data[0], data[0, -1], side="left"))
-            left = data[:, end:]
-            if end:
-                yield found(np.ascontiguousarray(data[:, :end]))
-        if left is not None and left.shape[1]:
-            yield found(np.ascontiguousarray(left))
 
-    keyed = _per_text(docs, "key node c1 c2", keys).drop("doc_id").repartition("key").sortWithinPartitions("key", "node")
-    return map_arrow(keyed, run, "u long, v long")
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _similar(nodes, sets, sides, similarity: float):
-    """Links that span the groups of sets of exact Jaccard similarity; of two sides only links between them."""
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of sets that share a shingle of their prefixes and have 128 bits within ``GATE``."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("c1").alias("fp"), "c1", "c2")
+    return _run_links(keyed, ["c1", "c2"], 64, GATE)
+
+
+def _similar(nodes, sets, similarity: float):
+    """Links that span the groups of sets of exact Jaccard similarity."""
     n, size = len(sets), np.array([len(s) for s in sets], np.int64)
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(n), size)
@@ -460,8 +454,6 @@ def _similar(nodes, sets, sides, similarity: float):
         shared += has @ has.T
     shared = shared.astype(np.float64)
     near = np.tril(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9, -1)
-    if len(set(sides)) > 1:
-        near &= np.not_equal.outer(sides, sides)
     label, us, vs = np.arange(n), [], []
     for i in np.flatnonzero(near.any(axis=1)):
         met = np.unique(label[np.append(np.flatnonzero(near[i]), i)])
@@ -471,54 +463,94 @@ def _similar(nodes, sets, sides, similarity: float):
     return us, vs
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``(u, v)`` of exact similarity within the groups of candidates; large groups are cut into pairs of blocks."""
-    counts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = (
-        nodes.join(groups, "node").join(counts, "component")
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-        .select(F.col("least").alias("of"), F.col("node").alias("wanted"), "component", "blocks", "own")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "wanted", "component", "blocks", "own")
-
-    def sets(batches):
-        for whole in batches:
-            for b in slices(whole, 500, 4 << 20):
-                got = [shingle_set(t.as_py(), shingle)[0] for t in b.column("text")]
-                same = [i for i, (h, w) in enumerate(zip(got, b.column("wanted").to_pylist())) if _node(h) == w]
-                kept = b.take(pa.array(same, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(kept.column(c) for c in ("wanted", "component", "blocks", "own")), pa.array([got[i].tobytes() for i in same], pa.binary())],
-                    names=["node", "component", "blocks", "own", "items"],
-                )
-
-    rows = (
-        map_arrow(chosen, sets, "node long, component long, blocks int, own int, items binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "items")
-    )
+def _compared(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Links ``(u, v)`` of exact similarity between the sets ``rows(keys..., node, items)`` of equal keys, each in one task."""
 
     def run(batches):
         def out(group):
             if len(group) < 2:
                 return None
-            us, vs = _similar(list(group), [x for x, _ in group.values()], np.array([s for _, s in group.values()]), similarity)
+            us, vs = _similar(list(group), list(group.values()), similarity)
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
         at, group = None, {}
         for b in batches:
-            columns = (b.column(b.schema.get_field_index(c)) for c in ("component", "i", "j", "own", "node", "items"))
-            for c, i, j, own, node, items in zip(*(x.to_pylist() for x in columns)):
-                if (c, i, j) != at:
+            columns = (b.column(b.schema.get_field_index(c)) for c in (*keys, "node", "items"))
+            for *key, node, items in zip(*(x.to_pylist() for x in columns)):
+                if key != at:
                     if (done := out(group)) is not None:
                         yield done
-                    at, group = (c, i, j), {}
-                group[node] = (np.frombuffer(items, np.uint64), own)
+                    at, group = key, {}
+                group[node] = np.frombuffer(items, np.uint64)
         if (done := out(group)) is not None:
             yield done
 
-    return map_arrow(rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), run, "u long, v long")
+    placed = rows.select(*keys, "node", "items").repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(placed, run, "u long, v long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, component, blocks, items): the shingle sets of the nodes wanted, written once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("t"))
+    chosen = texts.join(
+        wanted.select(F.col("rep.doc_id").alias("of"), F.col("rep.t").alias("of_t"), "node", "component", "blocks"),
+        F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t")),
+    ).select("text", "node", "component", "blocks")
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 500, 4 << 20):
+                got = [shingle_set(t.as_py(), shingle)[0].tobytes() for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c) for c in ("node", "component", "blocks")), pa.array(got, pa.binary())], names=["node", "component", "blocks", "items"]
+                )
+
+    return stored(map_arrow(chosen, run, "node long, component long, blocks int, items binary"), "sets")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` of exact similarity within the groups of candidates.
+
+    Groups of up to ``BLOCK`` sets are compared in one task.  Larger ones are dealt twice to blocks of that size, which
+    unites most of what is alike; then only sets outside a group's largest class are compared, with all others, by pairs of blocks.
+    """
+    member = nodes.select("node", "rep", "size").join(groups, "node")
+    counts = member.groupBy("component").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks")
+    )
+    sets = _sets(docs, member.join(counts, "component"), shingle)
+    deal = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    rows = sets.withColumn("salt", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    first = cut(_compared(rows.withColumn("own", deal("salt", "blocks")), ["component", "salt", "own"], similarity))
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return first
+    labels = large.select("node", "component", F.length("items").alias("bytes")).join(
+        connected_components(first).withColumnRenamed("component", "label"), "node", "left"
+    ).withColumn("label", F.coalesce("label", "node"))
+    sizes = labels.groupBy("component", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    labels = cut(labels.join(main, "component").withColumn("inside", F.col("label") == F.col("main")).select("node", "component", "inside", "bytes"))
+    blocks = lambda of: F.greatest(
+        F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("bytes"))) / (8 * BLOCK_ITEMS)), F.lit(0)
+    ).cast("int")
+    shape = labels.groupBy("component").agg(blocks(F.col("inside")).alias("m"), blocks(~F.col("inside")).alias("r")).where("r > 0")
+    left = large.drop("blocks").join(labels.drop("bytes"), ["node", "component"]).join(shape, "component")
+    far = left.withColumn("own", F.when(F.col("inside"), deal(3, "m")).otherwise(deal(3, "r")))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pairs = far.select(
+        "component", "node", "items",
+        F.explode(
+            F.when(F.col("inside"), F.transform(numbers("r"), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("i"), F.col("own").alias("j"))))
+            .otherwise(
+                F.concat(
+                    F.transform(numbers("m"), lambda x: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), x.alias("j"))),
+                    F.transform(numbers("r"), lambda x: F.struct(F.lit(1).alias("kind"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))),
+                )
+            )
+        ).alias("pair"),
+    ).select("component", "pair.*", "node", "items")
+    return first.unionByName(_compared(pairs, ["component", "kind", "i", "j"], similarity))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -526,12 +558,32 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     Near: an exact Jaccard similarity of ``similarity`` or more of the sets of five-word shingles (as 64-bit hashes).
     Sets so similar share a shingle of their prefixes; those that do and whose 128-bit SimHash differs in at most
-    ``GATE`` bits are compared exactly.
+    ``GATE`` bits are compared exactly.  Sets with one 128-bit digest are taken to be equal.
+
+    Null texts count as empty; texts without words are one group.  Null ids come last; of rows with one id and text one
+    stays.  Texts of any length count whole.  Other columns are carried along whatever their names; an empty table stays empty.
     """
-    marks = _per_text(docs, "node", lambda t: np.array([[_node(shingle_set(t, shingle)[0])]], np.int64))
-    nodes = cut(marks.groupBy("node").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(_candidates(docs, shingle, similarity))
-    classes = _classes(nodes, _verified(docs, nodes, groups, shingle, similarity))
-    # a class is represented by its smallest id; ids that are null or repeated are kept once per row they stand in
-    chosen = classes.select("component_id").distinct().withColumnRenamed("component_id", "doc_id")
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    marks = _marks(docs, shingle, similarity)
+    nodes = stored(
+        marks.groupBy("n1", "n2").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("rep"),
+            F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("size").alias("size"), F.first("keys").alias("keys"),
+        ).withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
+    )
+    groups = connected_components(_candidates(nodes))
+    classes = connected_components(_verified(docs, nodes, groups, shingle, similarity))
+    member = nodes.select("node", "rep").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = stored(
+        member.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_of"), F.col("rep.t").alias("_t")), "chosen"
+    )
+    repeated = cut(marks.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    of, again = F.col("_of"), F.col("_again")
+    plain, restore = aside(docs, "doc_id", "text")
+    id_ = F.col("doc_id").cast("long")
+    if repeated.isEmpty():
+        return plain.join(chosen, id_.eqNullSafe(of), "left_semi").select(*restore)
+    kept = plain.join(chosen, id_.eqNullSafe(of) & (_text_hash() == F.col("_t")), "left_semi")
+    once = kept.join(repeated, id_.eqNullSafe(again), "left_anti")
+    several = kept.join(repeated, id_.eqNullSafe(again), "left_semi").withColumn("_text", F.coalesce("text", F.lit("")))
+    return once.unionByName(several.dropDuplicates(["doc_id", "_text"]).drop("_text")).select(*restore)

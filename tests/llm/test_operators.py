@@ -246,6 +246,62 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_forest_of_a_long_run_is_whole():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    fp = base[np.minimum(rng.integers(0, 60, 1500), 29)]  # half of all rows near one fingerprint
+    for _ in range(2):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 63, len(fp)).astype(np.uint64))
+    us, vs = simhash._forest(fp, [], np.arange(len(fp)), 3, 0)
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)
+    assert union_find(len(fp), zip(us, vs)) == union_find(len(fp), zip(i, j))
+
+
+def test_long_keys_meet_in_pairs_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    fp = np.unique(np.uint64(7 << 40) ^ (np.uint64(1) << rng.integers(0, 30, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 400).astype(np.uint64)))
+    monkeypatch.setattr(simhash, "LONG", 25)
+    nodes = spark.createDataFrame([(int(x), int(x)) for x in fp], "fp long, node long")
+    from evigraph.llm.components import connected_components
+
+    got = {r["node"]: r["component"] for r in connected_components(simhash.links(nodes, 2)).collect()}
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 2)
+    want = union_find(len(fp), zip(i, j))
+    ids = {}
+    for x, w in zip(fp, want):
+        ids.setdefault(w, int(x))
+    assert [got.get(int(x), int(x)) for x in fp] == [ids[w] for w in want]
+
+
+def test_keep_one_goes_by_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (1, a, "q"), (1, b, "r"), (None, c, "s"), (None, c, "t"), (None, a, "u"), (2, b, "v"), (3, None, "w"), (4, "", "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _text string")).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str(x) for x in [(1, a), (1, b), (None, c), (3, None)])
+
+
+def test_large_groups_keep_their_classes(spark, monkeypatch):
+    """Groups of candidates beyond a block hold several classes; those of brute force are found."""
+    rng = random.Random(11)
+    rows, shared = [], [f"s{i}" for i in range(60)]
+    for k in range(6):
+        own = shared + [f"{k}w{i}" for i in range(50)]
+        for _ in range(9 if k else 25):
+            t = list(own)
+            for _ in range(rng.randint(0, 1)):
+                t[rng.randrange(len(t))] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    sets = [set(simhash.shingle_set(t)[0].tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = union_find(len(rows), pairs)
+    first = {}
+    for i, w in enumerate(want):
+        first.setdefault(w, i)
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(first.values())
+
+
 def test_gate_loses_next_to_nothing():
     """Chance that sets of a similarity of 0.8 differ in more bits than the gate, by enumeration over small sets."""
     from math import comb
