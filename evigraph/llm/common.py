@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,8 +72,14 @@ def slices(batch: pa.RecordBatch, rows: int, chars: int, column: str = "text"):
         start = stop
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow``; the import keeps pyarrow.compute loaded on workers."""
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow``; the import keeps pyarrow.compute loaded on workers.
+
+    The session's limit of records a batch is lowered to ``BATCH``, since texts may be long and both sides hold a batch.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit)) <= BATCH:
+        conf.set(limit, BATCH)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401

@@ -227,8 +227,6 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         for whole in batches:
             for b in slices(whole, 2000, 4 << 20):
                 preds, scores = predict(shared.value, b.column(b.schema.get_field_index("text")).to_pylist())
@@ -240,7 +238,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     schema = docs.schema
 
     out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, out)
+    return map_arrow(docs, run, out)
 
 
 def held_out(docs: DataFrame):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, block_pairs, cut, map_arrow, slices, stored
+from .common import aside, block_pairs, cut, hash_share, map_arrow, slices, stored
 from .components import connected_components
 
 LONG = 8192
@@ -387,11 +387,18 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 
 
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of three or more different texts of a bounded sample; they only save work."""
-    sample = docs.select("text", F.xxhash64("doc_id", F.lit(5)).alias("h")).orderBy("h").limit(SAMPLE).collect()
-    sets = [shingle_set(t, shingle)[0] for t in {r["text"] for r in sample}]
-    values, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-    return values[counts >= 3]
+    """Shingles of three or more different texts of a sample of about ``SAMPLE`` texts, counted by the executors; they only save work."""
+    share = SAMPLE / max(docs.count(), 1)
+    texts = docs.select("text", _text_hash().alias("t")).where(hash_share("t", 5) < share).groupBy("t").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 500, 4 << 20):
+                for text in b.column("text"):
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle)[0].view(np.int64))], names=["h"])
+
+    common = map_arrow(texts, run, "h long").groupBy("h").count().where("count >= 3").select("h").collect()
+    return np.array([r["h"] for r in common], np.int64).view(np.uint64)
 
 
 def _marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
