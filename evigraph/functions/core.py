@@ -69,22 +69,41 @@ def sanitized_type(x) -> F.Column:
 # ---------------------------------------------------------------- domains
 
 
-def evidence_level(design) -> F.Column:
-    """Oxford levels by study design."""
-    return (
-        F.when(design == "systematic_review", "1").when(design == "randomized_trial", "2").when(design == "cohort", "3")
-        .when(design.isin("case_control", "case_series"), "4").when(design == "mechanism", "5").otherwise("unrated")
-    )
+LEVELS_OF_EVIDENCE = {
+    "oxford-cebm-2011": {
+        "systematic_review": "1", "randomized_controlled_trial": "2", "cohort_study": "3", "case_control_study": "3",
+        "case_series": "4", "case_report": "4", "expert_opinion": "5",
+    }
+}
+
+
+def evidence_level(design, scale="oxford-cebm-2011") -> F.Column:
+    """Level of a study design on a named scale; ``unrated`` without a design, ``unknown_scale`` for other scales."""
+    scale = F.lit(scale) if isinstance(scale, str) else scale
+    out = F.lit("unknown_scale")
+    for name, levels in LEVELS_OF_EVIDENCE.items():
+        level = F.element_at(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]), design)
+        out = F.when(scale == name, F.coalesce(F.when(design.isNotNull(), level), F.lit("unrated"))).otherwise(out)
+    return out
 
 
 def interval_contains_null(measure, low, high) -> F.Column:
     """Does the interval hold the value of no effect: 1 for ratios, 0 for differences?"""
-    none = F.when(measure.isin("odds_ratio", "risk_ratio", "hazard_ratio"), 1.0).when(measure.isin("mean_difference", "risk_difference"), 0.0)
+    none = F.when(measure.isin("ratio", "odds_ratio", "risk_ratio", "hazard_ratio"), 1.0).when(measure.isin("difference", "mean_difference", "risk_difference"), 0.0)
     return (low <= none) & (none <= high)
 
 
-def deidentification(flag, checked) -> F.Column:
-    return F.when(flag.isNull(), "unknown").when(flag & F.coalesce(checked, F.lit(False)), "verified").when(flag, "declared").otherwise("identified")
+def deidentification(participant_level, attested_by) -> F.Column:
+    """State of a record: without participant-level content, attested by someone named, or missing the attestation."""
+    return (
+        F.when(~F.coalesce(participant_level, F.lit(False)), "not_participant_level")
+        .when(F.coalesce(F.trim(attested_by) != "", F.lit(False)), "attested").otherwise("missing")
+    )
+
+
+def temporal_order(first_seen, last_seen, valid_from, valid_until) -> F.Column:
+    """The first pair of times that is out of order, or null; times compare as text, equal ones are in order."""
+    return F.when(first_seen > last_seen, "first_seen").when(valid_from > valid_until, "valid_from")
 
 
 def _digits_sum(text, weights) -> F.Column:
@@ -128,14 +147,17 @@ def identifier(system: str, value) -> F.Column:
 
 # ---------------------------------------------------------------- navigation arithmetic
 
+#: Terms of an edge's utility; each counts once, for or against.
 UTILITY = (
-    ("relevance", 1.0), ("novelty", 0.5), ("confidence", 0.8), ("support", 0.7), ("recency", 0.3),
-    ("diversity", 0.4), ("cost", -0.6), ("risk", -0.5), ("redundancy", -0.4), ("staleness", -0.3),
+    ("semantic_relevance", 1), ("downstream_success", 1), ("evidence_gain", 1), ("novelty_gain", 1), ("temporal_relevance", 1),
+    ("contradiction_rate", -1), ("staleness", -1), ("traversal_cost", -1), ("dead_end_rate", -1), ("poisoning_risk", -1),
 )
 
 
 def edge_utility(columns: dict) -> F.Column:
-    """The linear form over ten terms; missing terms count 0."""
+    """The sum of ten terms, five of them taken off; missing terms count 0, unknown ones are refused."""
+    if unknown := set(columns) - {name for name, _ in UTILITY}:
+        raise InvalidRequest(f"no terms of utility: {sorted(unknown)}")
     total = F.lit(0.0)
     for name, w in UTILITY:
         if name in columns:

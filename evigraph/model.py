@@ -21,34 +21,44 @@ REL = (
     "confidence double, evidence_refs array<string>, recorded_at string"
 )
 
-#: Node kinds and relation kinds of the epistemic layer, and which ends a relation may have.
+#: Node kinds of the epistemic layer, in the order in which a node of several labels is classified.
 NODE_KINDS = (
-    "Entity", "Event", "Claim", "Observation", "Evidence", "Source", "Hypothesis", "Assumption", "Question", "Contradiction", "Decision",
+    "Entity", "Event", "Observation", "Claim", "Hypothesis", "Evidence", "Source", "Assessment", "Contradiction", "Inference", "Decision",
 )
+_SUPPORTERS, _CLAIMS = ("Observation", "Evidence", "Claim"), ("Claim", "Hypothesis")
+#: Relation kinds and the node kinds that may stand at their ends.
 RELATION_ENDS = {
-    "SUPPORTS": (("Observation", "Evidence", "Claim"), ("Claim", "Hypothesis")),
-    "REFUTES": (("Observation", "Evidence", "Claim"), ("Claim", "Hypothesis")),
-    "REPORTS": (("Source",), ("Observation", "Claim")),
-    "DERIVED_FROM": (("Claim", "Observation", "Evidence"), ("Evidence", "Observation", "Source")),
-    "CONTRADICTS": (("Claim", "Observation"), ("Claim", "Observation")),
-    "ABOUT": (("Claim", "Observation", "Question"), ("Entity", "Event")),
-    "ASSUMES": (("Hypothesis", "Claim"), ("Assumption",)),
-    "ANSWERS": (("Claim", "Decision"), ("Question",)),
+    "REPORTS": (("Source",), ("Observation",)),
+    "SUPPORTS": (_SUPPORTERS, _CLAIMS),
+    "REFUTES": (_SUPPORTERS, _CLAIMS),
+    "CONTRADICTS": (_SUPPORTERS, _CLAIMS),
+    "SUPERSEDES": (("Claim",), ("Claim",)),
+    "ASSESSES": (("Assessment",), _CLAIMS),
+    "INFERS": (("Inference",), _CLAIMS),
+    "DECIDES": (("Decision",), ("Assessment", "Claim", "Hypothesis")),
 }
 
+_ENDED = ("superseded", "retracted", "rejected")
+#: Lifecycle of claims: what may follow each state; staying in a state is always allowed.
 CLAIM_MOVES = {
-    "draft": ("proposed", "retracted"),
-    "proposed": ("under_review", "retracted", "rejected"),
-    "under_review": ("supported", "disputed", "unresolved", "rejected", "retracted"),
-    "supported": ("disputed", "superseded", "retracted"),
-    "disputed": ("supported", "unresolved", "rejected", "retracted"),
-    "unresolved": ("under_review", "retracted"),
+    "candidate": ("asserted", "rejected", "retracted", "unresolved"),
+    "asserted": ("supported", "disputed", "contradicted", "validated", "unresolved", *_ENDED),
+    "supported": ("disputed", "contradicted", "validated", "unresolved", *_ENDED),
+    "disputed": ("supported", "contradicted", "validated", "unresolved", *_ENDED),
+    "contradicted": ("disputed", "unresolved", *_ENDED),
+    "unresolved": ("supported", "disputed", "contradicted", "validated", *_ENDED),
+    "validated": ("superseded", "retracted"),
     "superseded": (),
-    "rejected": (),
     "retracted": (),
+    "rejected": (),
 }
 
 
+def node_kind(labels) -> F.Column:
+    """The first kind, in the order of ``NODE_KINDS``, that a node's labels name; null outside the vocabulary."""
+    return F.coalesce(*[F.when(F.array_contains(labels, k), k) for k in NODE_KINDS])
+
+
 def visible(df):
     """Rows that reads may see."""
     return df.where(F.col("status").isNull() | (F.col("status") != "tombstoned"))

@@ -75,26 +75,57 @@ def structure(edges: DataFrame, nodes: DataFrame, kinds: DataFrame, rules: dict,
     return out.distinct()
 
 
-def research_rules() -> dict[str, F.Column]:
-    """Rule code to the condition that breaks it, over research record columns."""
-    kind = F.col("kind")
+def _blank(name: str) -> F.Column:
+    return F.coalesce(F.trim(F.col(name)) == "", F.lit(True))
+
+
+def _none(name: str) -> F.Column:
+    return F.coalesce(F.size(name), F.lit(0)) <= 0
+
+
+RESEARCH_KINDS = ("claim", "finding", "result", "replication_attempt")
+
+
+def research_rules(known_kinds: tuple = RESEARCH_KINDS) -> dict[str, F.Column]:
+    """Code of a rule to the condition that breaks it, over (kind, status, asserting_work, credited_actor, result_refs,
+    source_refs, attempts array<struct<target_work, reporting_work>>, evidence_refs, supporting array<struct<retracted, override_reason>>)."""
+    kind, validated = F.col("kind"), F.coalesce(F.col("status") == "validated", F.lit(False))
+    is_ = lambda *k: F.coalesce(kind.isin(*k), F.lit(False))
+    named = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    one = F.coalesce(F.size("attempts") == 1, F.lit(False)) & F.coalesce(
+        F.exists("attempts", lambda a: named(a["target_work"]) & named(a["reporting_work"])), F.lit(False)
+    )
+    unmended = F.exists("supporting", lambda w: F.coalesce(w["retracted"], F.lit(False)) & ~named(w["override_reason"]))
+    return {
+        "RESEARCH_CLAIM_ATTRIBUTION_REQUIRED": is_("claim") & (_blank("asserting_work") | _blank("credited_actor")),
+        "RESEARCH_FINDING_RESULT_REQUIRED": is_("finding") & _none("result_refs"),
+        "RESEARCH_RESULT_SOURCE_REQUIRED": is_("result") & _none("source_refs"),
+        "RESEARCH_REPLICATION_ATTRIBUTION_REQUIRED": is_("replication_attempt") & ~one,
+        "RESEARCH_NODE_TYPE_REQUIRED": ~is_(*known_kinds),
+        "EVIDENCE_REQUIRED": validated & is_("claim", "finding") & _none("evidence_refs"),
+        "RESEARCH_RETRACTED_SUPPORT_REQUIRES_OVERRIDE": validated & F.coalesce(unmended, F.lit(False)),
+    }
+
+
+def citation_rules() -> dict[str, F.Column]:
+    """The same for citations (citing_work, cited_work, stance, locator, status, evidence_refs): a stance needs a locator and evidence."""
+    held = F.coalesce((F.col("stance") != "cites") & (F.col("status") == "validated"), F.lit(False))
     return {
-        "claim_attribution": (kind == "claim") & F.col("attribution").isNull(),
-        "finding_result": (kind == "finding") & F.col("result").isNull(),
-        "result_source": (kind == "result") & F.col("source").isNull(),
-        "replication_attribution": (kind == "replication") & F.col("attribution").isNull(),
-        "node_type": ~kind.isin("claim", "finding", "result", "replication", "citation", "publication"),
-        "retracted_support_override": F.coalesce(F.col("retracted"), F.lit(False)) & F.coalesce(F.col("supports"), F.lit(False)) & ~F.coalesce(F.col("override"), F.lit(False)),
-        "citation_endpoints": (kind == "citation") & (F.col("citing").isNull() | F.col("cited").isNull()),
-        "citation_locator": (kind == "citation") & F.col("locator").isNull(),
+        "RESEARCH_CITATION_ENDPOINTS_REQUIRED": _blank("citing_work") | _blank("cited_work"),
+        "RESEARCH_CITATION_LOCATOR_REQUIRED": held & _blank("locator"),
+        "EVIDENCE_REQUIRED": held & _none("evidence_refs"),
     }
 
 
 def medical_rules() -> dict[str, F.Column]:
+    """The same over (kind, status, participant_level, attested_by, study_refs, evidence_refs, window_start, window_end)."""
+    kind, validated = F.col("kind"), F.coalesce(F.col("status") == "validated", F.lit(False))
+    is_ = lambda *k: F.coalesce(kind.isin(*k), F.lit(False))
     return {
-        "deidentification": F.coalesce(F.col("patient_level"), F.lit(False)) & ~F.coalesce(F.col("deidentified"), F.lit(False)),
-        "effect_estimate_study": F.col("estimate").isNotNull() & F.col("study").isNull(),
-        "adverse_event_window": F.col("adverse_event").isNotNull() & F.col("window_days").isNull(),
+        "MEDICAL_DEIDENTIFICATION_REQUIRED": F.coalesce(F.col("participant_level"), F.lit(False)) & _blank("attested_by"),
+        "EVIDENCE_REQUIRED": validated & is_("finding", "effect_estimate") & _none("evidence_refs"),
+        "MEDICAL_EFFECT_ESTIMATE_STUDY_REF": is_("effect_estimate") & (F.coalesce(F.size("study_refs"), F.lit(0)) != 1),
+        "MEDICAL_ADVERSE_EVENT_WINDOW_REQUIRED": is_("adverse_event") & (_blank("window_start") | _blank("window_end")),
     }
 
 
@@ -118,7 +149,7 @@ def drift(rows: DataFrame, key: str, order: str, value: str, factor: float = 3.0
 # ---------------------------------------------------------------- claims
 
 def move_allowed(before, after) -> F.Column:
-    rule = F.lit(False)
+    rule = (before == after) & before.isin(*CLAIM_MOVES)
     for a, bs in CLAIM_MOVES.items():
         if bs:
             rule = rule | ((before == a) & after.isin(*bs))
@@ -126,26 +157,32 @@ def move_allowed(before, after) -> F.Column:
 
 
 def resolve(votes: DataFrame) -> DataFrame:
-    """Resolution of claims from votes ``(claim, kind, value)``: links and stances by side, trust by 0.6."""
-    side = F.when(F.col("kind") == "trust", F.when(F.col("value").cast("double") >= 0.6, 1).otherwise(-1)).otherwise(
-        F.when(F.col("value").isin("supports", "support"), 1).when(F.col("value").isin("refutes", "contradicts", "refute"), -1)
+    """Resolution of claims from votes ``(claim, kind, value)``: links and stances by side, trust by 0.6.
+
+    Links that supersede and stances that withhold judgment take no side; without a vote that does there is no confidence.
+    """
+    value = F.col("value")
+    side = (
+        F.when(F.col("kind") == "trust", F.when(value.try_cast("double") >= 0.6, 1).when(value.isNotNull(), -1))
+        .when(F.col("kind") == "link", F.when(value == "supports", 1).when(value.isin("refutes", "contradicts"), -1))
+        .when(F.col("kind") == "stance", F.when(value.isin("supports", "accepts"), 1).when(value.isin("refutes", "rejects", "disputes"), -1))
     )
     t = votes.select("claim", side.alias("side")).groupBy("claim").agg(
         F.count_if(F.col("side") == 1).alias("supports"), F.count_if(F.col("side") == -1).alias("refutes")
     )
     total = F.col("supports") + F.col("refutes")
     state = F.when(F.col("supports") > F.col("refutes"), "supported").when(F.col("refutes") > F.col("supports"), "disputed").otherwise("unresolved")
-    return t.select("claim", "supports", "refutes", state.alias("resolution"), F.when(total > 0, F.greatest("supports", "refutes") / total).otherwise(0.0).alias("confidence"))
+    return t.select("claim", "supports", "refutes", state.alias("resolution"), F.when(total > 0, F.greatest("supports", "refutes") / total).alias("confidence"))
 
 
 def replication(rows: DataFrame, key: str = "finding") -> DataFrame:
-    """Status of findings from replication outcomes: success, failure or other."""
+    """Status of findings from replication outcomes: replicated or failed where all attempts agree, mixed where both occur."""
     c = rows.groupBy(key).agg(
-        F.count_if(F.col("outcome") == "success").alias("good"), F.count_if(F.col("outcome") == "failure").alias("bad"), F.count("outcome").alias("n")
+        F.count_if(F.col("outcome") == "successful").alias("good"), F.count_if(F.col("outcome") == "failed").alias("bad"), F.count("outcome").alias("n")
     )
     state = (
-        F.when(F.col("n") == 0, "not_attempted").when((F.col("good") > 0) & (F.col("bad") > 0), "mixed").when(F.col("good") > 0, "replicated")
-        .when(F.col("bad") > 0, "failed").otherwise("inconclusive")
+        F.when(F.col("n") == 0, "not_attempted").when(F.col("good") == F.col("n"), "replicated").when(F.col("bad") == F.col("n"), "failed_to_replicate")
+        .when((F.col("good") > 0) & (F.col("bad") > 0), "mixed").otherwise("inconclusive")
     )
     return c.select(key, state.alias("status"))
 
@@ -186,19 +223,22 @@ def effects(observations: DataFrame, branch: str) -> DataFrame:
 # ---------------------------------------------------------------- questions
 
 LEVELS = ("tactical", "operational", "strategic")
-INTENTS = {"locate": "tactical", "detect": "tactical", "compare": "operational", "sequence": "operational", "explain": "strategic", "attribute": "strategic"}
+INTENTS = {"tactical_evidence_detail": "tactical", "operational_campaign_analysis": "operational", "strategic_objective_assessment": "strategic"}
+
 
+def resolution_level(intents: list[str], explicit: str | None = None) -> tuple[str, str]:
+    """(level, reason): the most detailed level of a question's intents; an explicit one must be the same.
 
-def resolution_level(intents: list[str], explicit: str | None = None) -> str:
-    """The level of detail a question asks for: the lowest of its intents; an explicit one must agree."""
-    found = sorted({INTENTS[i] for i in intents if i in INTENTS}, key=LEVELS.index)
-    if explicit is not None:
-        if explicit not in LEVELS or (found and explicit not in found):
-            raise InvalidRequest(f"level {explicit} disagrees with the question")
-        return explicit
+    Reasons: direct, ambiguous_most_detailed (intents of several levels) or explicit_match.
+    """
+    if unknown := [i for i in intents if i not in INTENTS]:
+        raise InvalidRequest(f"unsupported intents {unknown}")
+    found = sorted({INTENTS[i] for i in intents}, key=LEVELS.index)
     if not found:
-        raise InvalidRequest("no known intent")
-    return found[0]
+        raise InvalidRequest("at least one intent is needed")
+    if explicit is not None and explicit != found[0]:
+        raise InvalidRequest(f"level {explicit} disagrees with the question's {found[0]}")
+    return found[0], "explicit_match" if explicit else "ambiguous_most_detailed" if len(found) > 1 else "direct"
 
 
 def tiers(moves: DataFrame) -> DataFrame:

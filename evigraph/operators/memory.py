@@ -45,13 +45,18 @@ class Memory:
             raise NotFound(record)
         return got
 
+    def _next(self, table: str, record: str) -> int:
+        """The version that follows a record's last one, deleted or not."""
+        return (self.store.newest(table).where(F.col("id") == record).agg(F.max("version")).first()[0] or 0) + 1
+
     def remember(self, key: str, identity: str, kind: str, content: str, evidence=(), **props) -> dict:
         record = "memory--" + hashlib.sha256(f"{self.workspace}|{identity}".encode()).hexdigest()[:32]
 
         def act():
-            before = self.store.nodes().where(F.col("id") == record).first()
+            before = self.store.newest("nodes").where(F.col("id") == record).first()
             version = (before["version"] if before else 0) + 1
-            refs = list(dict.fromkeys([*(before["evidence_refs"] if before else []), *evidence]))
+            alive = before is not None and before["status"] != "tombstoned"
+            refs = list(dict.fromkeys([*(before["evidence_refs"] if alive else []), *evidence]))
             values = {"workspace": self.workspace, "kind": kind, "content": content, "lifecycle": "active", **props}
             return {"id": record, "version": version}, {"nodes": self._node(record, version, "Memory", values, evidence=refs)}
 
@@ -62,8 +67,7 @@ class Memory:
             self._current(source)
             self._current(target)
             record = "relation--" + hashlib.sha256(f"{source}|{kind}|{target}".encode()).hexdigest()[:32]
-            before = self.store.rels().where(F.col("id") == record).first()
-            version = (before["version"] if before else 0) + 1
+            version = self._next("rels", record)
             row = (record, version, source, target, kind, {"workspace": encode(self.workspace)}, "candidate", None, list(evidence), self.now)
             frame = self.store.spark.createDataFrame([row], "id string, version long, src string, dst string, rel_type string, props map<string,string>, status string, confidence double, evidence_refs array<string>, recorded_at string")
             return {"id": record, "version": version}, {"rels": frame}
@@ -100,13 +104,14 @@ class Memory:
         def act():
             if not apply:
                 return {"proposal": proposal, "applied": False}, {}
-            frames = self._node(proposal, 1, "Memory", {"workspace": self.workspace, "kind": "summary", "content": content, "lifecycle": "active", "disagreements": disagreements})
+            frames = self._node(proposal, self._next("nodes", proposal), "Memory", {"workspace": self.workspace, "kind": "summary", "content": content, "lifecycle": "active", "disagreements": disagreements})
             links = []
             for r in sorted(set(records)):
                 got = self._current(r)
                 props = {k: json.loads(v) for k, v in got["props"].items()} | {"lifecycle": "superseded"}
                 frames = frames.unionByName(self._node(r, got["version"] + 1, got["labels"][0], props, got["status"], got["evidence_refs"]))
-                links.append((f"relation--{proposal[8:24]}{r[8:24]}", 1, proposal, r, "SUPERSEDES", {}, "candidate", None, [], self.now))
+                link = f"relation--{proposal[8:24]}{r[8:24]}"
+                links.append((link, self._next("rels", link), proposal, r, "SUPERSEDES", {}, "candidate", None, [], self.now))
             rels = self.store.spark.createDataFrame(links, "id string, version long, src string, dst string, rel_type string, props map<string,string>, status string, confidence double, evidence_refs array<string>, recorded_at string")
             return {"proposal": proposal, "applied": True}, {"nodes": frames, "rels": rels}
 
@@ -126,13 +131,13 @@ class Memory:
         n = F.coalesce("matches", F.lit(0))
         return found.join(hits, "id", "left").select("id", "depth", n.alias("matches"), (n + 1.0 / (F.col("depth") + 1)).alias("score")).orderBy(F.desc("score"), "id").offset(offset).limit(items)
 
-    def trace(self, record: str) -> dict:
-        """Versions of a record and the relations around it."""
+    def trace(self, record: str, most: int = 1000) -> dict:
+        """Versions of a record and the relations around it, up to ``most`` of them; ``truncated`` says whether there are more."""
         history = [r.asDict() for r in self.store.history("nodes", record).collect()]
         if not history:
             raise NotFound(record)
-        around = self.store.rels().where((F.col("src") == record) | (F.col("dst") == record)).orderBy("id").limit(1000).collect()
-        return {"versions": history, "relations": [r.asDict() for r in around]}
+        around = self.store.rels().where((F.col("src") == record) | (F.col("dst") == record)).orderBy("id").limit(most + 1).collect()
+        return {"versions": history, "relations": [r.asDict() for r in around[:most]], "truncated": len(around) > most}
 
 
 def lexical_matches(rows: DataFrame, terms: list[str]) -> DataFrame:

@@ -267,14 +267,23 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def live_or_version(newest: DataFrame) -> DataFrame:
+    """Last versions in which a deleted record keeps its id and version only."""
+    gone = F.col("status") == "tombstoned"
+    kept = ("id", "version")
+    return newest.withColumn("status", F.coalesce("status", F.lit("candidate"))).select(*[c if c in kept else F.when(~gone, F.col(c)).alias(c) for c in newest.columns])
+
+
 def write_batch(store, changes: DataFrame, atomic: bool = True, now: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Typed writes ``changes(id, action, expected, labels, props)`` against current versions; (id, outcome).
 
     create needs no record, update and delete one of the expected version; one conflict stops an atomic batch.
+    A deleted record can be created again: its versions go on, nothing else of it stays.
     """
     manifest = store.manifest()
-    current = store.nodes().select("id", F.col("version").alias("at"), F.col("labels").alias("old_labels"), F.col("props").alias("old"), "confidence", "evidence_refs", "status")
-    ok = F.when(F.col("action") == "create", F.col("at").isNull()).otherwise(F.col("at").isNotNull() & (F.col("expected").isNull() | (F.col("expected") == F.col("at"))))
+    current = live_or_version(store.newest("nodes")).select("id", F.col("version").alias("at"), F.col("labels").alias("old_labels"), F.col("props").alias("old"), "confidence", "evidence_refs", "status")
+    there = F.col("status").isNotNull()
+    ok = F.when(F.col("action") == "create", ~there).otherwise(there & (F.col("expected").isNull() | (F.col("expected") == F.col("at"))))
     rows = changes.join(current, "id", "left").withColumn("ok", ok).cache()
     if atomic and rows.where("not ok").limit(1).count():
         raise Conflict("a record isn't at its expected version")

@@ -15,7 +15,10 @@ from ..errors import BudgetExceeded, InvalidRequest
 
 K1, B = 1.2, 0.75
 BOOSTS = {"name": 3.0, "aliases": 2.0}
-STOP = frozenset("a an and are as at be by for from how in is it of on or that the this to was what which with".split())
+#: Words of a question that tell nothing of what it is after.
+STOP = frozenset("a all an and are find for from identify in is list of on or show that the this tied to what which with".split())
+STATUS_SIGNAL = {"validated": 1.0, "exportable": 1.0, "exported": 1.0, "needs_review": 0.7, "needs_evidence": 0.6, "candidate": 0.5}
+NEUTRAL_CONFIDENCE = 0.5
 SPLIT = "[^\\p{L}\\p{N}]+"
 
 
@@ -170,13 +173,16 @@ def seeds(docs: DataFrame, text_fields: list[str], degree: DataFrame, objective:
     """Hybrid seeds: 0.70 lexical, 0.15 degree, 0.10 confidence, 0.05 status; (doc, score, rank, ambiguous).
 
     ``docs`` may have confidence and status; the lexical part is s / (s + 2), the degree part
-    ln(1 + d) / ln(1 + most).  The boundary is ambiguous when the next score is within 1e-9.
+    ln(1 + d) / ln(1 + most).  A missing confidence counts 0.5, a missing status as a candidate's; rejected and
+    tombstoned documents are no seeds.  The boundary is ambiguous when the next score is within 1e-9.
     """
+    if "status" in docs.columns:
+        docs = docs.where(~F.coalesce(F.col("status").isin("rejected", "tombstoned"), F.lit(False)))
     found = bm25(docs, text_fields, objective_terms(objective), key, every=False)
     most = degree.agg(F.max("degree").alias("most"))
     extra = docs.select(
         F.col(key).alias("doc"),
-        (F.col("confidence") if "confidence" in docs.columns else F.lit(0.0)).alias("confidence"),
+        (F.col("confidence").cast("double") if "confidence" in docs.columns else F.lit(None).cast("double")).alias("confidence"),
         (F.col("status") if "status" in docs.columns else F.lit(None).cast("string")).alias("status"),
     )
     rows = (
@@ -185,8 +191,10 @@ def seeds(docs: DataFrame, text_fields: list[str], degree: DataFrame, objective:
     )
     lexical = F.col("score") / (F.col("score") + 2.0)
     by_degree = F.when(F.coalesce("most", F.lit(0)) > 0, F.log1p(F.coalesce("degree", F.lit(0)).cast("double")) / F.log1p(F.col("most").cast("double"))).otherwise(0.0)
-    by_status = F.when(F.col("status").isin("validated", "exportable", "exported"), 1.0).when(F.col("status").isin("rejected", "tombstoned"), 0.0).otherwise(0.5)
-    score = lexical if lexical_only else 0.70 * lexical + 0.15 * by_degree + 0.10 * F.coalesce("confidence", F.lit(0.0)) + 0.05 * by_status
+    by_status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_SIGNAL.items() for x in kv]), F.coalesce("status", F.lit("candidate")))
+    score = lexical if lexical_only else (
+        0.70 * lexical + 0.15 * by_degree + 0.10 * F.coalesce("confidence", F.lit(NEUTRAL_CONFIDENCE)) + 0.05 * F.coalesce(by_status, F.lit(0.0))
+    )
     from pyspark.sql import Window
 
     top = rows.select("doc", score.alias("score")).orderBy(F.desc("score"), F.asc("doc")).limit(k + 1)  # k + 1 rows

@@ -36,12 +36,10 @@ class Policy:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; where none is set, a temporary one (local tests)."""
-    sc = df.sparkSession.sparkContext
+    """Cut lineage with a checkpoint in the shared folder; where none is set, in a folder beside the warehouse."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="walk-"))
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -137,13 +135,13 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bad_ends(edges: DataFrame, kinds: DataFrame, rules: dict) -> DataFrame:
-    """(rel, rel_type, source_kind, target_kind): edges of known types whose ends are of kinds the rules don't allow."""
+    """(rel, rel_type, source_kind, target_kind): edges of known types whose ends are of kinds the rules don't allow, or of none."""
     rows = [(t, a, b) for t, (froms, tos) in rules.items() for a in froms for b in tos]
     table = edges.sparkSession.createDataFrame(rows, "rel_type string, source_kind string, target_kind string")
     known = edges.where(F.col("rel_type").isin(list(rules)))
     return (
-        known.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("source_kind")), "src")
-        .join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("target_kind")), "dst")
+        known.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("source_kind")), "src", "left")
+        .join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("target_kind")), "dst", "left")
         .join(F.broadcast(table), ["rel_type", "source_kind", "target_kind"], "left_anti")  # a few dozen rules
         .select(F.col("id").alias("rel"), "rel_type", "source_kind", "target_kind")
     )

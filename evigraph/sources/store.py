@@ -1,9 +1,10 @@
-"""A versioned store: append-only Parquet folders per table, published by a pointer.
+"""A versioned store: append-only Parquet folders per table, published by numbered manifests.
 
-Every commit writes the new versions (changed records only) to a folder of its own and then replaces
-``CURRENT``, a one-line manifest that lists the folders of each table.  Readers see a commit as a whole or not
-at all; a writer that dies leaves folders no manifest names.  One writer at a time.
-The manifest is written through Spark, so any store Spark can reach will do.
+Every commit writes the new versions (changed records only) to a folder of its own and then creates the next manifest,
+a line that lists the folders of each table.  Readers take the whole manifest of the highest number, so they see a commit
+as a whole or not at all, and never a gap; a writer that dies leaves folders no manifest names, or half a manifest that
+readers pass over.  A manifest is only ever created, never replaced: of two writers at the same revision one fails.
+Manifests are written through Hadoop's file systems, so any store Spark can reach will do.
 """
 
 from __future__ import annotations
@@ -32,28 +33,42 @@ class GraphStore:
 
     # -- manifests
 
-    def manifest(self) -> dict:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return {"revision": 0, "folders": {t: [] for t in TABLES}}
-        stream = self._fs.open(at)
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
         try:
-            text = bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return json.loads(text)
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the manifests, highest first."""
+        folder = self._path(f"{self.root}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+    def manifest(self) -> dict:
+        for n in self._numbers():
+            try:
+                return json.loads(self._read(f"{self.root}/manifests/{n:012d}.json"))
+            except ValueError:  # its writer has not ended, or died
+                continue
+        return {"revision": 0, "folders": {t: [] for t in TABLES}}
 
     def _publish(self, manifest: dict) -> None:
-        """Write the manifest beside the pointer and rename it over the old one."""
-        new = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
+        """Create the manifest of the next number; whoever finds it there was too late."""
+        number = max([*self._numbers()[:1], manifest["revision"] - 1]) + 1
+        if number != manifest["revision"] and self.manifest()["revision"] >= manifest["revision"]:
+            raise Conflict(f"revision {manifest['revision']} is there already")
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            out = self._fs.create(self._path(f"{self.root}/manifests/{number:012d}.json"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"revision {manifest['revision']} is there already") from e
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        at = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise Conflict("the manifest could not be replaced")
 
     # -- reads
 
@@ -64,12 +79,21 @@ class GraphStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def newest(self, table: str) -> DataFrame:
+        """The last version of every record, tombstones too: what the next version follows."""
+        return latest(self.versions(table))
+
     def nodes(self) -> DataFrame:
         """Current, visible nodes."""
-        return visible(latest(self.versions("nodes")))
+        return visible(self.newest("nodes"))
 
     def rels(self) -> DataFrame:
-        return visible(latest(self.versions("rels")))
+        return visible(self.newest("rels"))
+
+    def between(self, source: str, target: str, rel_type: str | None = None) -> DataFrame:
+        """Current relationships from one node to another."""
+        rows = self.rels().where((F.col("src") == source) & (F.col("dst") == target))
+        return rows if rel_type is None else rows.where(F.col("rel_type") == rel_type)
 
     def history(self, table: str, record: str) -> DataFrame:
         return self.versions(table).where(F.col("id") == record).orderBy("version")
@@ -112,11 +136,7 @@ class GraphStore:
         at = self._path(f"{self.root}/snapshots/{name}.json")
         if not self._fs.exists(at):
             raise NotFound(name)
-        stream = self._fs.open(at)
-        try:
-            kept = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        kept = json.loads(self._read(f"{self.root}/snapshots/{name}.json"))
         self._publish({"revision": self.manifest()["revision"] + 1, "folders": kept["folders"]})
 
     def compact(self) -> None:

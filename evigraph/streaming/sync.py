@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest
+from ..operators.mutate import live_or_version
 
 SCHEMA = "operation string, seq long, id string, action string, labels array<string>, props map<string,string>"
 PHASES = {"snapshot": ("snapshot", "catch_up"), "catch_up": ("catch_up", "steady"), "steady": ("steady",)}
@@ -35,7 +36,7 @@ class Sync:
         fresh = batch.where(F.col("seq").isNull() | (F.col("seq") > state["seq"])).dropDuplicates(["operation"]).cache()
         good = fresh.where(ok)
         last = good.groupBy("id").agg(F.max_by(F.struct("action", "labels", "props"), "seq").alias("o"))
-        current = self.store.nodes().select("id", "version", F.col("labels").alias("had"), F.col("props").alias("old"), "confidence", "evidence_refs")
+        current = live_or_version(self.store.newest("nodes")).select("id", "version", F.col("labels").alias("had"), F.col("props").alias("old"), "confidence", "evidence_refs")
         new = last.join(current, "id", "left").select(
             "id", (F.coalesce("version", F.lit(0)) + 1).cast("long").alias("version"), F.coalesce("o.labels", "had").alias("labels"),
             F.coalesce("o.props", "old").alias("props"), F.when(F.col("o.action") == "delete", "tombstoned").otherwise("candidate").alias("status"),

@@ -249,22 +249,32 @@ def test_extraction(spark, tmp_path):
 
 
 def test_validators_and_branches(spark):
-    rows = spark.createDataFrame([("a", "claim", None), ("b", "finding", "r"), ("c", "odd", None)], "id string, kind string, attribution string")
-    for c in ("result", "source", "citing", "cited", "locator"):
-        rows = rows.withColumn(c, F.lit("x"))
-    for c in ("retracted", "supports", "override"):
-        rows = rows.withColumn(c, F.lit(False))
-    assert {tuple(r) for r in ep.findings(rows, ep.research_rules()).collect()} == {("a", "claim_attribution"), ("c", "node_type")}
-    moves = spark.createDataFrame([("draft", "proposed"), ("proposed", "supported"), ("rejected", "draft")], "a string, b string")
-    assert [r["ok"] for r in moves.select(ep.move_allowed(F.col("a"), F.col("b")).alias("ok")).collect()] == [True, False, False]
-    votes = spark.createDataFrame([("c1", "link", "supports"), ("c1", "trust", "0.7"), ("c1", "stance", "refutes"), ("c2", "trust", "0.1")], "claim string, kind string, value string")
-    got = {r["claim"]: (r["resolution"], round(r["confidence"], 3)) for r in ep.resolve(votes).collect()}
-    assert got == {"c1": ("supported", 0.667), "c2": ("disputed", 1.0)}
+    schema = (
+        "id string, kind string, status string, asserting_work string, credited_actor string, result_refs array<string>, source_refs array<string>, "
+        "attempts array<struct<target_work:string,reporting_work:string>>, evidence_refs array<string>, supporting array<struct<retracted:boolean,override_reason:string>>"
+    )
+    rows = [
+        ("a", "claim", None, "w", " ", None, None, None, None, None), ("b", "finding", "validated", None, None, ["r"], None, None, [], [(True, None), (False, None)]),
+        ("c", "odd", None, None, None, None, None, None, None, None), ("d", "replication_attempt", None, None, None, None, None, [("t", "r")], None, None),
+        ("e", "replication_attempt", None, None, None, None, None, [("t", "")], None, None), ("f", "result", None, None, None, None, [], None, None, None),
+        ("g", "claim", "validated", "w", "x", None, None, None, ["e"], [(True, "known")]),
+    ]
+    assert {tuple(r) for r in ep.findings(spark.createDataFrame(rows, schema), ep.research_rules()).collect()} == {
+        ("a", "RESEARCH_CLAIM_ATTRIBUTION_REQUIRED"), ("b", "EVIDENCE_REQUIRED"), ("b", "RESEARCH_RETRACTED_SUPPORT_REQUIRES_OVERRIDE"),
+        ("c", "RESEARCH_NODE_TYPE_REQUIRED"), ("e", "RESEARCH_REPLICATION_ATTRIBUTION_REQUIRED"), ("f", "RESEARCH_RESULT_SOURCE_REQUIRED"),
+    }
+    moves = spark.createDataFrame([("candidate", "asserted"), ("candidate", "supported"), ("rejected", "asserted"), ("validated", "validated"), ("odd", "odd")], "a string, b string")
+    assert [r["ok"] for r in moves.select(ep.move_allowed(F.col("a"), F.col("b")).alias("ok")).collect()] == [True, False, False, True, False]
+    votes = spark.createDataFrame([("c1", "link", "supports"), ("c1", "trust", "0.7"), ("c1", "stance", "refutes"), ("c2", "trust", "0.1"), ("c3", "stance", "withholds_judgment")], "claim string, kind string, value string")
+    got = {r["claim"]: (r["resolution"], r["confidence"] and round(r["confidence"], 3)) for r in ep.resolve(votes).collect()}
+    assert got == {"c1": ("supported", 0.667), "c2": ("disputed", 1.0), "c3": ("unresolved", None)}
     steps = spark.createDataFrame([("p", 1, "a", "b", "tactical", 1.0), ("p", 2, "b", "c", "operational", 2.0), ("q", 1, "a", "b", "tactical", 1.0), ("q", 2, "b", "c", "strategic", 1.0)], "path string, seq int, src string, dst string, level string, score double")
     assert {r["path"]: (r["valid"], r["score"]) for r in ep.mixed_path(steps).collect()} == {"p": (True, 3.0), "q": (False, 2.0)}
-    assert ep.resolution_level(["explain", "locate"]) == "tactical"
-    with pytest.raises(InvalidRequest):
-        ep.resolution_level(["locate"], "strategic")
+    both = ["strategic_objective_assessment", "tactical_evidence_detail"]
+    assert ep.resolution_level(both) == ("tactical", "ambiguous_most_detailed") and ep.resolution_level(both, "tactical")[1] == "explicit_match"
+    for intents, level in ((both, "strategic"), ([], None), (["locate"], None)):
+        with pytest.raises(InvalidRequest):
+            ep.resolution_level(intents, level)
     hot = spark.createDataFrame([("a", False, False), ("b", True, False), ("c", False, True), ("d", False, False)], "id string, pinned boolean, dirty boolean")
     assert [r["id"] for r in ep.evictions(hot, 3).collect()] == ["d"]
     moves = spark.createDataFrame([("r", 1, "shadow", False), ("r", 2, "canonical", False), ("s", 1, "canonical", True)], "record string, seq int, tier string, audited boolean")

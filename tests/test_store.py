@@ -156,3 +156,38 @@ def test_change_stream_is_idempotent(spark, tmp_path):
     assert {r["id"]: r["props"].get("v") for r in store.nodes().collect()} == {"x": "2", "y": None}
     with pytest.raises(InvalidRequest):
         sync.apply(spark.createDataFrame([], "operation string, seq long, id string, action string, labels array<string>, props map<string,string>"), "steady")
+
+
+def test_deleted_records_can_be_created_again(store, spark):
+    """Versions go on after a tombstone, whichever way a record comes back."""
+    m = Memory(store, "w")
+    a = m.remember("k1", "one", "note", "first", evidence=["e1"])
+    m.forget("k2", a["id"])
+    assert m.remember("k3", "one", "note", "second", evidence=["e2"]) == {"id": a["id"], "version": 3}
+    row = store.nodes().where(F.col("id") == a["id"]).first()
+    assert row["props"]["content"] == '"second"' and row["evidence_refs"] == ["e2"]
+    schema = "id string, action string, expected long, labels array<string>, props map<string,string>"
+    for action in ("create", "delete", "create"):
+        mu.write_batch(store, spark.createDataFrame([("again", action, None, ["Actor"], {"n": '"1"'} if action == "create" else None)], schema))
+    assert store.nodes().where("id = 'again'").first()["version"] == 3
+    with pytest.raises(Conflict):
+        mu.write_batch(store, spark.createDataFrame([("again", "create", None, ["Actor"], {})], schema))
+    sync, ops = Sync(store), "operation string, seq long, id string, action string, labels array<string>, props map<string,string>"
+    for i, action in enumerate(("create", "delete", "create")):
+        sync.apply(spark.createDataFrame([(f"o{i}", i, "s", action, ["A"] if i != 1 else None, {"i": str(i)} if i != 1 else None)], ops))
+    row = store.nodes().where("id = 's'").first()
+    assert (row["version"], row["props"], row["status"]) == (3, {"i": "2"}, "candidate")
+
+
+def test_manifests_are_created_and_never_replaced(store, spark, tmp_path):
+    before = store.manifest()
+    half = tmp_path / "graph/manifests" / f"{before['revision'] + 1:012d}.json"
+    half.write_text('{"revision": 99, "fold')  # a writer that died
+    assert store.manifest() == before and len(ids(store.nodes())) == 3
+    store.commit(before["revision"], nodes=store.versions("nodes").limit(0))
+    after = store.manifest()
+    assert after["revision"] == before["revision"] + 1
+    with pytest.raises(Conflict):
+        store._publish({"revision": after["revision"], "folders": {}})
+    assert store.manifest() == after
+    assert ids(store.between("node--1", "node--2")) == []
