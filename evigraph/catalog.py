@@ -15,6 +15,7 @@ from .operators import navigation as nv
 from .operators import records as rc
 from .operators import search as se
 from .operators import traverse as tr
+from .operators.textindex import of_table
 from .operators.memory import lexical_matches
 from .operators.predicate import Filter, Group
 from .plans.compile import run
@@ -132,17 +133,24 @@ def cy_rendered(spark, sf_dir):
 
 @query("SELECT 'customer--' || c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 7")
 def sc_point_read(spark, sf_dir):
-    return load(spark, sf_dir).nodes("Customer").where(F.col("custkey") == 7).select("id", "name")
+    return load(spark, sf_dir).node("customer--7").select("id", "name")
 
 
 @query("SELECT 'order--' || l_orderkey AS src, 'part--' || l_partkey AS dst FROM lineitem WHERE l_orderkey = 1")
 def sc_outgoing(spark, sf_dir):
-    return load(spark, sf_dir).rels("CONTAINS").where(F.col("src") == "order--1").select("src", "dst")
+    return load(spark, sf_dir).incident("CONTAINS", source="order--1").select("src", "dst")
 
 
 @query("SELECT 'nation--' || n_nationkey AS src, 'region--' || n_regionkey AS dst FROM nation WHERE n_regionkey = 2")
 def sc_incoming(spark, sf_dir):
-    return load(spark, sf_dir).rels("IN_REGION").where(F.col("dst") == "region--2").select("src", "dst")
+    return load(spark, sf_dir).incident("IN_REGION", target="region--2").select("src", "dst")
+
+
+@query("SELECT 'lives_in--' || c_custkey || '--' || c_nationkey AS id FROM customer WHERE c_custkey = 7 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 7)")
+def sc_between(spark, sf_dir):
+    g = load(spark, sf_dir)
+    home = g.incident("LIVES_IN", source="customer--7").first()["dst"]
+    return g.incident("LIVES_IN", source="customer--7", target=home).select("id")
 
 
 @query("SELECT 'in_region' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'placed', count(*) FROM orders UNION ALL SELECT 'contains', count(*) FROM lineitem "
@@ -203,8 +211,9 @@ def kd_nested_predicate(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def kd_json_path(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
-    return rows.where("k >= 50")
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.struct(F.from_json("props", "k bigint").alias("props")).alias("doc"))
+    found = rc.selected(rc.to_records(rows, "Event"), rc.Read(predicate=Filter("doc.props.k", "gte", 50)))
+    return found.select(F.col("id").alias("event_id"), F.col("body.doc.props.k").alias("k"))
 
 
 @query("SELECT 'order--' || o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice < 150000 OR (o_totalprice = 150000 AND 'order--' || o_orderkey > 'order--5') ORDER BY o_totalprice DESC, id LIMIT 25")
@@ -310,9 +319,15 @@ def kd_access_filtered_terms(spark, sf_dir):
     return aggregated(rc.to_records(rows, "Customer"), rc.Aggregation("terms", "mktsegment"))
 
 
-@query("SELECT count(*) AS rows FROM orders")
+def digest_sql(columns: str, source: str) -> str:
+    """SQL of :func:`records.fingerprint` over text columns: a count and a digest."""
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4))
+    return f"SELECT count(*) AS rows, sha256(concat_ws(',', count(*)::VARCHAR, {sums})) AS digest FROM (SELECT sha256(concat_ws(chr(31), {columns})) AS h FROM {source})"
+
+
+@query(digest_sql("'order--' || o_orderkey, '1'", "orders"))
 def dg_digest(spark, sf_dir):
-    return rc.fingerprint(orders(spark, sf_dir), "id", "revision").select("rows")
+    return rc.fingerprint(orders(spark, sf_dir), "id", "revision")
 
 
 @query("SELECT min(CASE WHEN c * 100 >= n * 50 THEN b END) AS p50, min(CASE WHEN c * 100 >= n * 95 THEN b END) AS p95, min(CASE WHEN c * 100 >= n * 99 THEN b END) AS p99 FROM ("
@@ -360,7 +375,7 @@ def gr_degree(spark, sf_dir):
 
 @query("SELECT 'part--' || l_partkey AS id, count(*) AS degree FROM lineitem GROUP BY l_partkey HAVING count(*) > 40")
 def gr_supernode(spark, sf_dir):
-    return tr.degrees(load(spark, sf_dir).edges(["CONTAINS"])).where("degree > 40 and id like 'part--%'")
+    return tr.crowded(tr.directed(load(spark, sf_dir).edges(["CONTAINS"]), tr.IN), 40)
 
 
 @query("SELECT 'placed--' || o_custkey || '--' || o_orderkey AS rel, 'source' AS side, 'customer--' || o_custkey AS missing FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)")
@@ -398,6 +413,11 @@ def gr_cycle(spark, sf_dir):
 
 # ---------------------------------------------------------------- search
 
+def text_index(spark, sf_dir):
+    """The index of the documents' texts, built once for the files as they are."""
+    return of_table(spark, tr.shared_folder(spark), f"{sf_dir}/documents.parquet", ["text"], "doc_id")
+
+
 TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)"
 
 
@@ -407,22 +427,27 @@ s AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, sum((a > 0)::INT)::DOUBLE
 SELECT doc, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
 FROM c, s WHERE a > 0 AND b > 0""")
 def ft_bm25(spark, sf_dir):
-    return se.bm25(read(spark, sf_dir, "documents"), ["text"], ["the", "with"], "doc_id").select("doc", F.round("score", 6).alias("score"))
+    return text_index(spark, sf_dir).bm25(["the", "with"]).select("doc", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS doc, {TERMS} AS w FROM documents) SELECT doc, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::BIGINT AS hits FROM d WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0")
 def ft_phrase(spark, sf_dir):
-    return se.phrase(read(spark, sf_dir, "documents"), "text", "Of the", "doc_id")
+    return text_index(spark, sf_dir).phrase("text", "Of the")
 
 
 @query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), lambda x: starts_with(x, 'then')))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, lambda x: starts_with(x, 'then'))) > 0")
 def ft_prefix(spark, sf_dir):
-    return se.prefix(read(spark, sf_dir, "documents"), "text", "then", "doc_id")
+    return text_index(spark, sf_dir).prefix("text", "then")
 
 
 @query(f"SELECT doc_id AS doc, len(list_filter(list_distinct({TERMS}), lambda x: abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1))::BIGINT AS hits FROM documents WHERE len(list_filter({TERMS}, lambda x: abs(len(x) - 4) <= 1 AND levenshtein(x, 'that') <= 1)) > 0")
 def ft_fuzzy(spark, sf_dir):
-    return se.fuzzy(read(spark, sf_dir, "documents"), "text", "that", 1, "doc_id")
+    return text_index(spark, sf_dir).fuzzy("text", "that", 1)
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term")
+def ft_index_rebuild(spark, sf_dir):
+    return text_index(spark, sf_dir).table("terms")
 
 
 @query("SELECT doc_id AS id, ((contains(lower(text), 'token'))::INT + (contains(lower(text), 'phone'))::INT + (contains(lower(text), 'with'))::INT)::BIGINT AS matches FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'phone') OR contains(lower(text), 'with')")
@@ -437,11 +462,25 @@ def mem_recall(spark, sf_dir):
     return lexical_matches(rows, ["the", "que"])
 
 
-@query(None)
+SEED_STATUS = "CASE doc_id % 6 WHEN 0 THEN 'validated' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'needs_evidence' WHEN 3 THEN 'rejected' WHEN 4 THEN 'candidate' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, {TERMS} AS w, doc_id % 5 AS degree, {SEED_STATUS} AS status, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 / 4.0::DOUBLE END AS confidence FROM documents WHERE doc_id % 6 <> 3),
+c AS (SELECT *, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'que'))::DOUBLE AS b FROM d),
+s AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, sum((a > 0)::INT)::DOUBLE AS da, sum((b > 0)::INT)::DOUBLE AS db, max(degree) AS most FROM c),
+l AS (SELECT *, ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS s FROM c, s WHERE b > 0),
+r AS (SELECT doc, 0.70::DOUBLE * (s / (s + 2.0::DOUBLE)) + 0.15::DOUBLE * (ln(1 + degree) / ln(1 + most)) + 0.10::DOUBLE * coalesce(confidence, 0.5)
+  + 0.05::DOUBLE * CASE status WHEN 'validated' THEN 1.0::DOUBLE WHEN 'needs_review' THEN 0.7 WHEN 'needs_evidence' THEN 0.6 ELSE 0.5 END AS score FROM l),
+o AS (SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc) AS rank, lead(score) OVER (ORDER BY score DESC, doc) AS following FROM r)
+SELECT doc, round(score, 6) AS score, rank, rank = 10 AND coalesce(abs(score - following) < 1e-9, false) AS ambiguous FROM o WHERE rank <= 10""")
 def sd_hybrid_seed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("confidence")), "doc_id", "left")
-    degree = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return se.seeds(docs, ["text"], degree, "when then there were ere", "doc_id", 10).select("doc", F.round("score", 6).alias("score"), "rank", "ambiguous")
+    n = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(n % 4 > 0, n % 4 / 4.0).alias("confidence"),
+        F.when(n % 6 == 0, "validated").when(n % 6 == 1, "needs_review").when(n % 6 == 2, "needs_evidence").when(n % 6 == 3, "rejected").when(n % 6 == 4, "candidate").alias("status"),
+    )
+    degree = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (n % 5).alias("degree")).where("id % 6 <> 3")
+    return se.seeds(docs, ["text"], degree, "find the que", "doc_id", 10).select("doc", F.round("score", 6).alias("score"), "rank", "ambiguous")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script)\\b.*?</script\\s*>|<(style)\\b.*?</style\\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages")
@@ -469,12 +508,12 @@ def fn_core(spark, sf_dir):
 
 
 @query("SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_discount < 0.02 THEN 'below' WHEN l_discount < 0.07 THEN 'validated' ELSE 'exportable' END AS band, "
-       "CASE l_returnflag WHEN 'A' THEN '2' WHEN 'R' THEN '4' ELSE 'unrated' END AS level, l_discount <= 1 AND 1 <= l_quantity AS holds FROM lineitem")
+       "CASE l_returnflag WHEN 'A' THEN '2' WHEN 'R' THEN '3' ELSE 'unrated' END AS level, l_discount <= 1 AND 1 <= l_quantity AS holds FROM lineitem")
 def fn_domain(spark, sf_dir):
-    design = F.when(F.col("l_returnflag") == "A", "randomized_trial").when(F.col("l_returnflag") == "R", "case_series")
+    design = F.when(F.col("l_returnflag") == "A", "randomized_controlled_trial").when(F.col("l_returnflag") == "R", "case_control_study")
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), fn.confidence_band(F.col("l_discount"), 0.02, 0.07).alias("band"),
-        fn.evidence_level(design).alias("level"), fn.interval_contains_null(F.lit("odds_ratio"), F.col("l_discount"), F.col("l_quantity")).alias("holds"),
+        fn.evidence_level(design).alias("level"), fn.interval_contains_null(F.lit("ratio"), F.col("l_discount"), F.col("l_quantity")).alias("holds"),
     )
 
 
@@ -534,19 +573,24 @@ def ep_circular(spark, sf_dir):
 
 
 @query("SELECT claim, supports, refutes, CASE WHEN supports > refutes THEN 'supported' WHEN refutes > supports THEN 'disputed' ELSE 'unresolved' END AS resolution, "
-       "CASE WHEN supports + refutes > 0 THEN greatest(supports, refutes) / (supports + refutes)::DOUBLE ELSE 0.0 END AS confidence FROM ("
-       "SELECT user_id AS claim, count(*) FILTER (event_type IN ('view', 'click') OR (event_type = 'purchase' AND value >= 0.6)) AS supports, count(*) FILTER (event_type = 'error' OR (event_type = 'purchase' AND value < 0.6)) AS refutes FROM events GROUP BY user_id)")
+       "CASE WHEN supports + refutes > 0 THEN greatest(supports, refutes) / (supports + refutes)::DOUBLE END AS confidence FROM ("
+       "SELECT event_id // 3 AS claim, count(*) FILTER (event_type = 'view' OR (event_type = 'click' AND event_id % 2 = 0) OR (event_type = 'purchase' AND value >= 60)) AS supports, "
+       "count(*) FILTER ((event_type = 'error' AND event_id % 3 < 2) OR (event_type = 'purchase' AND value < 60)) AS refutes FROM events GROUP BY claim)")
 def ep_resolve(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("claim"), F.when(F.col("event_type") == "purchase", "trust").otherwise("stance").alias("kind"),
-        F.when(F.col("event_type").isin("view", "click"), "supports").when(F.col("event_type") == "error", "refutes").when(F.col("event_type") == "purchase", F.col("value").cast("string")).otherwise("none").alias("value"),
-    )
-    return ep.resolve(rows.where("value <> 'none'").unionByName(rows.select("claim", F.lit("stance").alias("kind"), F.lit("neutral").alias("value")).distinct()))
-
-
-@query("SELECT l_partkey AS finding, CASE WHEN g > 0 AND b > 0 THEN 'mixed' WHEN g > 0 THEN 'replicated' WHEN b > 0 THEN 'failed' ELSE 'inconclusive' END AS status FROM (SELECT l_partkey, count(*) FILTER (l_returnflag = 'A') AS g, count(*) FILTER (l_returnflag = 'R') AS b FROM lineitem GROUP BY l_partkey)")
+    kind, n = F.col("event_type"), F.col("event_id")
+    return ep.resolve(read(spark, sf_dir, "events").select(
+        F.floor(n / 3).alias("claim"),
+        F.when(kind == "purchase", "trust").when(kind == "view", "link").otherwise("stance").alias("kind"),
+        F.when(kind == "purchase", (F.col("value") / 100).cast("string")).when(kind == "view", "supports")
+        .when(kind == "click", F.when(n % 2 == 0, "accepts").otherwise("withholds_judgment"))
+        .when(kind == "error", F.when(n % 3 == 0, "rejects").when(n % 3 == 1, "disputes").otherwise("withholds_judgment"))
+        .otherwise("withholds_judgment").alias("value"),
+    ))
+
+
+@query("SELECT l_partkey AS finding, CASE WHEN g = n THEN 'replicated' WHEN b = n THEN 'failed_to_replicate' WHEN g > 0 AND b > 0 THEN 'mixed' ELSE 'inconclusive' END AS status FROM (SELECT l_partkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS g, count(*) FILTER (l_returnflag = 'R') AS b FROM lineitem GROUP BY l_partkey)")
 def ep_replication(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("finding"), F.when(F.col("l_returnflag") == "A", "success").when(F.col("l_returnflag") == "R", "failure").otherwise("other").alias("outcome"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("finding"), F.when(F.col("l_returnflag") == "A", "successful").when(F.col("l_returnflag") == "R", "failed").otherwise("inconclusive").alias("outcome"))
     return ep.replication(rows)
 
 
@@ -584,10 +628,15 @@ def br_rank(spark, sf_dir):
 
 # ---------------------------------------------------------------- navigation
 
-@query("SELECT l_orderkey AS o, l_linenumber AS n, round(l_discount * 1.0 + l_tax * 0.5 - l_quantity * 0.6, 9) AS utility FROM lineitem")
+@query("SELECT l_orderkey AS o, l_linenumber AS n, round(l_discount + l_tax + (l_linenumber / 8.0 + l_quantity / 50.0) - (l_partkey % 7 / 7.0 + l_suppkey % 5 / 5.0) + l_orderkey % 3 / 3.0 - l_orderkey % 11 / 11.0 - l_partkey % 13 / 13.0 - l_linenumber % 2, 9) AS utility FROM lineitem")
 def nv_edge_utility(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem")
-    score = fn.edge_utility({"relevance": F.col("l_discount"), "novelty": F.col("l_tax"), "cost": F.col("l_quantity")})
+    rest = lambda c, m: F.col(c) % m / F.lit(float(m))
+    score = fn.edge_utility({
+        "semantic_relevance": F.col("l_discount"), "downstream_success": F.col("l_tax"), "evidence_gain": F.col("l_linenumber") / 8, "novelty_gain": F.col("l_quantity") / 50,
+        "contradiction_rate": rest("l_partkey", 7), "staleness": rest("l_suppkey", 5), "temporal_relevance": rest("l_orderkey", 3),
+        "traversal_cost": rest("l_orderkey", 11), "dead_end_rate": rest("l_partkey", 13), "poisoning_risk": F.col("l_linenumber") % 2,
+    })
     return rows.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.round(score, 9).alias("utility"))
 
 
@@ -685,3 +734,6 @@ def wr_topk(spark, sf_dir):
     w = Window.orderBy(F.desc("price"), "id")
     top = rows.orderBy(F.desc("price"), "id").limit(15)  # the limit comes first, so that 15 rows are ranked
     return top.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("id", "price")
+
+
+from . import catalog_state  # noqa: E402, F401  (registers its queries)

@@ -260,13 +260,48 @@ def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:
 def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """(id, outcome, version): created, replaced or unchanged for each incoming record; both have id and digest, current version."""
     a, b = incoming.alias("i"), current.alias("c")
-    outcome = F.when(F.col("c.id").isNull(), "created").when(F.col("c.digest") == F.col("i.digest"), "unchanged").otherwise("replaced")
+    outcome = F.when(F.col("c.digest").isNull(), "created").when(F.col("c.digest") == F.col("i.digest"), "unchanged").otherwise("replaced")
     return a.join(b, F.col("i.id") == F.col("c.id"), "left").select(
         F.col("i.id").alias("id"), outcome.alias("outcome"),
         (F.coalesce(F.col("c.version"), F.lit(0)) + F.when(outcome == "unchanged", 0).otherwise(1)).cast("long").alias("version"),
     )
 
 
+def import_records(store, incoming: DataFrame, workspace: str, key: str, now: str = "1970-01-01T00:00:00Z") -> dict:
+    """Typed import of ``incoming(id, labels, props)``, written to the store in one commit with its receipt.
+
+    Records not there or deleted are created, changed ones replaced, equal ones left alone.  A repeated request of one key
+    is answered from its receipt; the same key with other records is a conflict.
+    """
+    from .records import fingerprint
+
+    asked = fingerprint(incoming.select("id", F.to_json(F.struct("labels", F.array_sort(F.map_entries("props")))).alias("content")), "id", "content").first()["digest"]
+    kept = store.versions("receipts").where((F.col("workspace") == workspace) & (F.col("key") == key)).first()
+    if kept is not None:
+        if kept["request"] != asked:
+            raise Conflict("the key was used for another request")
+        return json.loads(kept["response"])
+    revision = store.manifest()["revision"]
+    before = live_or_version(store.newest("nodes"))
+
+    def digest(*c):
+        return F.xxhash64(F.array_sort(F.map_entries(c[1])), F.array_sort(c[0]))
+
+    given = incoming.withColumn("digest", digest("labels", "props"))
+    there = before.select("id", F.when(F.col("status").isNotNull(), digest("labels", "props")).alias("digest"), "version")
+    outcomes = upsert(there, given).where("outcome <> 'unchanged'")
+    new = given.join(outcomes, "id").select(
+        "id", "version", "labels", "props", F.lit("candidate").alias("status"), F.lit(None).cast("double").alias("confidence"),
+        F.array().cast("array<string>").alias("evidence_refs"), F.lit(now).alias("recorded_at"), "outcome",
+    ).cache()
+    counts = {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()}  # two rows
+    response = {"created": counts.get("created", 0), "replaced": counts.get("replaced", 0), "received": given.count()}
+    receipt = store.spark.createDataFrame([(workspace, key, asked, json.dumps(response))], "workspace string, key string, request string, response string")
+    store.commit(revision, nodes=new.drop("outcome"), receipts=receipt)
+    new.unpersist()
+    return response
+
+
 def live_or_version(newest: DataFrame) -> DataFrame:
     """Last versions in which a deleted record keeps its id and version only."""
     gone = F.col("status") == "tombstoned"

@@ -219,18 +219,39 @@ class ResultCache:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """SHA-256 over sorted per-bucket digests of rows: 4096 buckets combine on one row, whatever the size.
+    """(rows, digest): SHA-256 over the number of rows and the sums of four 60-bit parts of each row's SHA-256.
 
-    The digest of a bucket is over its sorted row digests; the result is independent of partitioning.
+    Sums commute, so tasks add up their rows before anything is shuffled and the order and partitioning don't matter; equal rows count.
     """
     one = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256).alias("h")
-    buckets = rows.select(one).groupBy(F.substring("h", 1, 3).alias("b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n")
-    )
-    return buckets.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("digest"),
-    )
+    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")
+    sums = rows.select(one).agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return sums.select("rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("digest"))
+
+
+DIGESTS = {
+    "nodes": ("id", "revision"), "relationships": ("id", "src", "dst", "rel_type"), "properties": ("id", "key", "value"),
+    "labels": ("id", "label"), "statuses": ("id", "status"),
+}
+
+
+def graph_digests(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """(part, rows, digest) of a stored graph: nodes, relationships, properties, labels and statuses, each on its own."""
+    parts = {
+        "nodes": nodes.select("id", F.col("version").alias("revision")), "relationships": rels.select("id", "src", "dst", "rel_type"),
+        "properties": nodes.select("id", F.explode("props").alias("key", "value")), "labels": nodes.select("id", F.explode("labels").alias("label")),
+        "statuses": nodes.select("id", "status").unionByName(rels.select("id", "status")),
+    }
+    out = None
+    for name, rows in parts.items():
+        one = fingerprint(rows, *DIGESTS[name]).select(F.lit(name).alias("part"), "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def listed_with_total(records: DataFrame, read: Read, allowed: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A list and the number of all records that match, before the limit."""
+    return listed(records, read, allowed), counted(records, read, allowed).withColumnRenamed("count", "total")
 
 
 def percentiles(rows: DataFrame, column: str, bounds: list[float], wanted=(50, 95, 99)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExceeded, InvalidRequest
 
 OUT, IN, BOTH = "outgoing", "incoming", "both"
+SMALL = 50_000  # nodes of a level that are broadcast once they have been counted
 
 
 @dataclass
@@ -35,11 +36,18 @@ class Policy:
             raise InvalidRequest(f"unknown direction {self.direction}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; where none is set, in a folder beside the warehouse."""
-    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+def shared_folder(spark) -> str:
+    """The folder that all nodes share: ``spark.checkpoint.dir``, or the checkpoint folder that was set, or one beside the warehouse."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -62,15 +70,31 @@ def neighbours(edges: DataFrame, nodes: DataFrame, seeds: list[str], policy: Pol
     return rows.join(seen.select(F.col("id").alias("other")), "other", "left_semi").select("owner", F.col("other").alias("id"), "rel").dropDuplicates(["owner", "rel"])
 
 
-def walk(edges: DataFrame, nodes: DataFrame, seeds: list[str], policy: Policy | None = None) -> DataFrame:
+def adjacency(edges: DataFrame, path: str, direction: str = BOTH) -> DataFrame:
+    """:func:`directed` edges written once in ranges of (owner, rel), for walks that would else read every edge in each level.
+
+    A supernode's edges lie in as many files as they need; a level's owners are found by the row groups' statistics.
+    """
+    directed(edges, direction).repartitionByRange("owner", "rel").sortWithinPartitions("owner", "rel").write.mode("overwrite").parquet(path)
+    return edges.sparkSession.read.parquet(path)
+
+
+def crowded(moves: DataFrame, limit: int) -> DataFrame:
+    """(id, degree) of the nodes with more than ``limit`` edges to follow: what a walk without filters refuses to expand."""
+    return moves.groupBy(F.col("owner").alias("id")).agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > limit)
+
+
+def walk(edges: DataFrame, nodes: DataFrame, seeds: list[str], policy: Policy | None = None, moves: DataFrame | None = None) -> DataFrame:
     """Breadth-first: (id, depth, parent, rel) of every node reached, each by its first path.
 
     First: in the order of the parents, then of the relationship's id.  More edges than ``max_expansions``, or
     an unfiltered node of more than ``supernode`` edges, fail the walk; ``max_results`` cuts it in order.
+    ``moves`` may be a written :func:`adjacency` of the edges.  Levels of up to ``SMALL`` nodes, by count, are broadcast, so the
+    edges aren't shuffled for them.
     """
     policy = policy or Policy()
     policy.check()
-    moves = directed(edges, policy.direction)
+    moves = directed(edges, policy.direction) if moves is None else moves
     if policy.rel_types:
         moves = moves.where(F.col("rel_type").isin(policy.rel_types))
     seen = nodes if policy.neighbour is None else nodes.where(policy.neighbour)
@@ -80,21 +104,22 @@ def walk(edges: DataFrame, nodes: DataFrame, seeds: list[str], policy: Policy |
     level = start.join(nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel"), "place")
     reached = frontier = cut(level)
     spent, total = 0, frontier.count()
+    size = total
     for depth in range(1, policy.max_depth + 1):
-        steps = moves.join(frontier.select(F.col("id").alias("owner"), F.col("place").alias("at")), "owner")
+        level = frontier.select(F.col("id").alias("owner"), F.col("place").alias("at"))
+        steps = moves.join(F.broadcast(level) if size <= SMALL else level, "owner")
         if policy.supernode is not None and not policy.rel_types and policy.neighbour is None:
-            top = steps.groupBy("owner").count().agg(F.max("count")).first()[0]
-            if top and top > policy.supernode:
-                raise BudgetExceeded(f"a node has {top} edges; filter the walk")
+            if (top := crowded(steps, policy.supernode).first()) is not None:
+                raise BudgetExceeded(f"{top['id']} has {top['degree']} edges; filter the walk")
         if policy.max_expansions is not None:
             spent += steps.limit(policy.max_expansions - spent + 1).count()
             if spent > policy.max_expansions:
                 raise BudgetExceeded(f"more than {policy.max_expansions} edges")
-        found = (
-            steps.join(ids, "other", "left_semi")
-            .join(reached.select(F.col("id").alias("other")), "other", "left_anti")
-            .groupBy("other").agg(F.min(F.struct("at", "rel", "owner")).alias("first"))
-        )
+        met = cut(steps.groupBy("other").agg(F.min(F.struct("at", "rel", "owner")).alias("first")))
+        met = met if met.limit(SMALL + 1).count() > SMALL else F.broadcast(met)
+        # ids and reached may be far larger than a level: they are streamed past it, not shuffled, where it is small
+        found = ids.join(met, "other").select("other", "first").distinct()
+        found = found.join(F.broadcast(reached.select(F.col("id").alias("other"))) if total <= SMALL else reached.select(F.col("id").alias("other")), "other", "left_anti")
         rows = found.select(F.col("other").alias("id"), F.lit(depth).alias("depth"), F.col("first.owner").alias("parent"), F.col("first.rel").alias("rel"), F.col("first.at").alias("at"))
         if policy.max_results is not None:
             rows = rows.orderBy("at", "rel", "id").limit(max(0, policy.max_results - total))
@@ -104,6 +129,7 @@ def walk(edges: DataFrame, nodes: DataFrame, seeds: list[str], policy: Policy |
         frontier = cut(rows.withColumn("place", place).drop("at"))
         n = frontier.count()
         total += n
+        size = n
         if n == 0:
             break
         reached = reached.unionByName(frontier)

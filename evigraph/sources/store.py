@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Conflict, NotFound
 from ..model import NODE, REL, latest, visible
+from .manifest import Manifests
 
 TABLES = {"nodes": NODE, "rels": REL, "receipts": "workspace string, key string, request string, response string", "evidence": "id string, source string, digest string, payload string"}
 
@@ -24,51 +25,15 @@ TABLES = {"nodes": NODE, "rels": REL, "receipts": "workspace string, key string,
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs, self._path = self._reach()
-
-    def _reach(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self._manifests = Manifests(spark, self.root)
 
     # -- manifests
 
-    def _read(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _numbers(self) -> list[int]:
-        """Numbers of the manifests, highest first."""
-        folder = self._path(f"{self.root}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
-
     def manifest(self) -> dict:
-        for n in self._numbers():
-            try:
-                return json.loads(self._read(f"{self.root}/manifests/{n:012d}.json"))
-            except ValueError:  # its writer has not ended, or died
-                continue
-        return {"revision": 0, "folders": {t: [] for t in TABLES}}
+        return self._manifests.read() or {"revision": 0, "folders": {t: [] for t in TABLES}}
 
     def _publish(self, manifest: dict) -> None:
-        """Create the manifest of the next number; whoever finds it there was too late."""
-        number = max([*self._numbers()[:1], manifest["revision"] - 1]) + 1
-        if number != manifest["revision"] and self.manifest()["revision"] >= manifest["revision"]:
-            raise Conflict(f"revision {manifest['revision']} is there already")
-        from py4j.protocol import Py4JJavaError
-
-        try:
-            out = self._fs.create(self._path(f"{self.root}/manifests/{number:012d}.json"), False)
-        except Py4JJavaError as e:
-            raise Conflict(f"revision {manifest['revision']} is there already") from e
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
+        self._manifests.publish(manifest)
 
     # -- reads
 
@@ -127,16 +92,13 @@ class GraphStore:
 
     def snapshot(self, name: str) -> None:
         """Keep the current manifest under a name; data folders are never changed, so this is the whole backup."""
-        manifest = self.manifest()
-        out = self._fs.create(self._path(f"{self.root}/snapshots/{name}.json"), True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
+        self._manifests.create(f"{self.root}/snapshots/{name}.json", self.manifest(), replace=True)
 
     def restore(self, name: str) -> None:
-        at = self._path(f"{self.root}/snapshots/{name}.json")
-        if not self._fs.exists(at):
+        at = f"{self.root}/snapshots/{name}.json"
+        if not self._manifests.exists(at):
             raise NotFound(name)
-        kept = json.loads(self._read(f"{self.root}/snapshots/{name}.json"))
+        kept = json.loads(self._manifests.text(at))
         self._publish({"revision": self.manifest()["revision"] + 1, "folders": kept["folders"]})
 
     def compact(self) -> None:

@@ -41,8 +41,8 @@ class PropertyGraph:
     the native ``status``, ``confidence`` and ``evidence_refs`` where a frame has them.
     """
 
-    def __init__(self, spark: SparkSession, nodes: dict[str, Callable[[], DataFrame]], rels: dict[str, Callable[[], DataFrame]]):
-        self.spark, self._nodes, self._rels = spark, nodes, rels
+    def __init__(self, spark: SparkSession, nodes: dict[str, Callable[[], DataFrame]], rels: dict[str, Callable[[], DataFrame]], keyed: bool = False):
+        self.spark, self._nodes, self._rels, self._keyed = spark, nodes, rels, keyed
 
     @property
     def labels(self) -> list[str]:
@@ -70,6 +70,30 @@ class PropertyGraph:
             return self._rels[kind]()
         return self.edges(self.types)
 
+    def node(self, record: str) -> DataFrame:
+        """The node of an id.  Ids of tables tell label and key, so the key's own column is filtered and the scan skips the rest."""
+        name, _, key = record.partition("--")
+        label = next((x for x in self.labels if x.lower() == name), None)
+        if label is None or (self._keyed and not _is_key(key)):
+            return self.spark.createDataFrame([], "id string")
+        return self._nodes[label](int(key)) if self._keyed else self._nodes[label]().where(F.col("id") == record)
+
+    def incident(self, kind: str, source: str | None = None, target: str | None = None) -> DataFrame:
+        """Relationships of a type out of one node, into one, or from one to another; filtered by their keys."""
+        ends = {"src": source, "dst": target}
+        if not self._keyed:
+            rows = self.rels(kind)
+            for c, record in ends.items():
+                rows = rows if record is None else rows.where(F.col(c) == record)
+            return rows
+        keys = []
+        for c, label in zip(ends, RELS[kind][1:4:2]):
+            name, _, key = (ends[c] or "").partition("--")
+            if ends[c] is not None and (name != label.lower() or not _is_key(key)):
+                return self.rels(kind).limit(0)
+            keys.append(None if ends[c] is None else int(key))
+        return self._rels[kind](*keys)
+
     def edges(self, kinds: list[str]) -> DataFrame:
         """Adjacency without payload: id, src, dst, rel_type."""
         out = None
@@ -83,6 +107,10 @@ def node_id(label: str, column) -> F.Column:
     return F.concat(F.lit(label.lower() + "--"), F.col(column).cast("string"))
 
 
+def _is_key(text: str) -> bool:
+    return text.lstrip("-").isdigit() and str(int(text)) == text
+
+
 def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph over the Parquet tables of a folder."""
 
@@ -91,13 +119,20 @@ def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
     def node(label):
         name, key, props = NODES[label]
-        return lambda: read(name).select(node_id(label, key).alias("id"), *[F.col(c).alias(p) for p, c in props.items()])
+
+        def make(wanted: int | None = None):
+            rows = read(name) if wanted is None else read(name).where(F.col(key) == wanted)
+            return rows.select(node_id(label, key).alias("id"), *[F.col(c).alias(p) for p, c in props.items()])
+
+        return make
 
     def rel(kind):
         name, a, ac, b, bc, props = RELS[kind]
 
-        def make():
+        def make(source: int | None = None, target: int | None = None):
             rows = read(name)
+            for c, wanted in ((ac, source), (bc, target)):
+                rows = rows if wanted is None else rows.where(F.col(c) == wanted)
             own = [F.lit(kind.lower()), F.col(ac).cast("string"), F.col(bc).cast("string")]
             if "linenumber" in props:
                 own.append(F.col(props["linenumber"]).cast("string"))
@@ -109,7 +144,10 @@ def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         return make
 
     nodes = {label: node(label) for label in NODES}
-    nodes["User"] = lambda: read("events").select(node_id("User", "user_id").alias("id"), F.col("user_id")).distinct()
+    nodes["User"] = lambda wanted=None: (
+        (read("events") if wanted is None else read("events").where(F.col("user_id") == wanted))
+        .select(node_id("User", "user_id").alias("id"), F.col("user_id")).distinct()
+    )
     rels = {kind: rel(kind) for kind in RELS}
     rels["SUPPLIED_BY"] = lambda: (
         read("lineitem").select("l_partkey", "l_suppkey").distinct().select(
@@ -117,4 +155,4 @@ def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
             node_id("Part", "l_partkey").alias("src"), node_id("Supplier", "l_suppkey").alias("dst"),
         )
     )
-    return PropertyGraph(spark, nodes, rels)
+    return PropertyGraph(spark, nodes, rels, keyed=True)
