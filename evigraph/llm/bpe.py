@@ -303,7 +303,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = load(shared.value)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1000, 2 << 20)):
             counts, of_ids, of_text = [], [], []
             for t in b.column("text"):
                 got = bpe.pieces_of(t.as_py() or "")

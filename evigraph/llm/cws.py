@@ -13,9 +13,10 @@ without a global sort: ids fall into ranges between bounds, every range is one g
 of rows in its own task's sorted stream, and the largest id below a range's lower bound is
 sent to that range too.  Texts are shuffled once.
 
-Null texts are empty; an empty text has no samples: its fingerprint is all zeros, and it is like
-another empty text (1) and unlike any other (0).  Repeated ids follow one another in the order of
-their texts; null ids come last.
+Null texts are empty; a text without words (of ASCII white space alone, say) has no samples: its fingerprint is all zeros, and it is like
+another such text (1) and unlike any other (0).  Repeated ids follow one another in the order of
+their texts; null ids come last.  Texts of any length are sampled whole, ``BLOCK`` terms at a time; other columns aren't
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .common import map_arrow, slices
 
 SAMPLES = 128
 GRAIN = 1 << 16
+BLOCK = 4096  # terms whose draws are held at once
 
 
 def _tables():
@@ -74,32 +76,48 @@ def _terms(text: str) -> list[bytes]:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """(len(texts), SAMPLES) of uint16; zeros for texts without words.  Each distinct (word, weight) is drawn once."""
+    """(len(texts), SAMPLES) of uint16; zeros for texts without words.  Each distinct (word, weight) is drawn once for a run of texts."""
     from collections import Counter
 
     import xxhash
 
-    hash_of: dict[bytes, int] = {}
     digest = xxhash.xxh3_64_intdigest
-    index: dict[tuple[bytes, int], int] = {}
-    rows: list[list[int]] = []
-    for t in texts:
-        rows.append([index.setdefault(item, len(index)) for item in sorted(Counter(_terms(t)).items())])
     out = np.zeros((len(texts), SAMPLES), np.uint16)
-    if not index:
-        return out
-    hashes = np.fromiter((hash_of.get(w) or hash_of.setdefault(w, digest(w)) for w, _ in index), np.uint64, len(index))
-    weights = np.fromiter((n for _, n in index), np.float64, len(index))
-    key = np.empty((len(index), SAMPLES), np.float32)
-    name = np.empty((len(index), SAMPLES), np.uint16)
-    for a in range(0, len(index), 2048):
-        key[a : a + 2048], name[a : a + 2048] = draws(hashes[a : a + 2048], weights[a : a + 2048])
     sample = np.arange(SAMPLES)
-    for i, r in enumerate(rows):
-        if r:
-            at = np.array(r)
-            best = key[at].argmin(0)
-            out[i] = name[at[best], sample]
+
+    def made(first: int, rows: list[list[int]], index: dict):
+        hashes = np.fromiter((digest(w) for w, _ in index), np.uint64, len(index))
+        weights = np.fromiter((n for _, n in index), np.float64, len(index))
+        if len(rows) == 1:  # a text may have any number of terms: the least draws so far are kept
+            least, name = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint16)
+            for a in range(0, len(index), BLOCK // 2):
+                key, names = draws(hashes[a : a + BLOCK // 2], weights[a : a + BLOCK // 2])
+                best = key.argmin(0)
+                better = key[best, sample] < least
+                least = np.where(better, key[best, sample], least)
+                name = np.where(better, names[best, sample], name)
+            if len(index):
+                out[first] = name
+            return
+        key = np.empty((len(index), SAMPLES), np.float32)
+        names = np.empty((len(index), SAMPLES), np.uint16)
+        for a in range(0, len(index), BLOCK // 2):
+            key[a : a + BLOCK // 2], names[a : a + BLOCK // 2] = draws(hashes[a : a + BLOCK // 2], weights[a : a + BLOCK // 2])
+        for i, r in enumerate(rows):
+            if r:
+                at = np.array(r)
+                best = key[at].argmin(0)
+                out[first + i] = names[at[best], sample]
+
+    first, rows, index = 0, [], {}
+    for n, t in enumerate(texts):
+        terms = sorted(Counter(_terms(t)).items())
+        if rows and len(index) + len(terms) > 8 * BLOCK:
+            made(first, rows, index)
+            first, rows, index = n, [], {}
+        rows.append([index.setdefault(item, len(index)) for item in terms])
+    if rows:
+        made(first, rows, index)
     return out
 
 
@@ -206,7 +224,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _some(text: str) -> bool:
-    return bool(text) and not text.isspace()
+    """Has the text a term?"""
+    return bool(text.encode("utf-8", "surrogatepass").strip())
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -8,14 +8,15 @@ use alike: it costs a fifth.  Training is backpropagation through time in numpy
 Adam, on a bounded sample: about ``rows_per_language`` rows of each language, one stretch
 of ``stretch`` characters from each.
 
-A null text, or one without a letter, is ``und`` with score 0, as is everything where no
-row teaches a language.  Ties go to the language that sorts first.  Repeated rows and
+A null text, or one without a letter (Unicode category L), is ``und`` with score 0, as is everything where no
+row teaches a language.  Texts of any length are read whole; an empty table gives no rows.  Ties go to the language that sorts first.  Repeated rows and
 ids get equal results; columns other than doc_id, text and (to learn) lang are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import aside, crc_bucket, hash_share, map_arrow, slices
 
 WINDOW, HIDDEN = 64, 8
-LETTER = re.compile(r"[^\W\d_]")
+ALNUM = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions that aren't decimal digits
 F32 = np.float32
 
 
@@ -179,11 +180,15 @@ def window_sums(model: dict, windows: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return total
 
 
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in ALNUM.finditer(text))
+
+
 def predict(model: dict, texts: list[str | None], at_once: int = 4096) -> tuple[list[str], list[float]]:
     """Language and pooled probability of each text."""
     names = model["names"]
     preds, scores = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if names else []
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if names else []
     if not known:
         return preds, scores
     raw = [texts[i].encode("utf-8", "surrogatepass") for i in known]
@@ -211,11 +216,12 @@ def fit(docs: DataFrame, rows_per_language: int = 300, stretch: int = 384, steps
         return train([], [])
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))])
     room = F.greatest(F.lit(0), F.length("text") - stretch)
+    # by id and text, so that rows that share an id are drawn one by one, and copies come once
+    drawn = known.where("text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
     rows = (
-        known.where(hash_share("doc_id", 11) < share[F.col("lang")])
-        .where("text is not null")
-        .select("doc_id", "lang", F.substring("text", (room * hash_share("doc_id", 12)).cast("int") + 1, F.lit(stretch)).alias("part"))
-        .collect()
+        drawn.where(hash_share("draw", 11) < share[F.col("lang")])
+        .select("doc_id", "lang", F.substring("text", (room * hash_share("draw", 12)).cast("int") + 1, F.lit(stretch)).alias("part"))
+        .distinct().collect()
     )
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, r["part"]))
     return train([r["part"] for r in rows], [r["lang"] for r in rows], steps)

@@ -18,7 +18,8 @@ The table of sources has one row a source.
 
 Null and empty texts have size 0 and take nothing; a null source is a source of its own,
 last.  Rows that agree in id, source and size share what is taken of them evenly.  Null ids
-are placed like the text ''.  No other column than doc_id, text and source is looked at.
+are placed like the text ''.  No other column than doc_id, text and source is looked at.  Words of a text of any
+length count; an empty table has an empty mix.
 """
 
 from __future__ import annotations
@@ -172,19 +173,30 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, a document as often as the mix takes it: once for each lap in which its first word is taken.
+def mixed(docs: DataFrame, shard_slots: int = 64, **options) -> DataFrame:
+    """The columns of ``docs``, a document as often as the mix takes it, in the order of the mix.
 
-    A source's words come within one document of its target; texts stay whole.
+    A document comes once for each lap in which its first word is taken, at the slot that takes it.  Rows are dealt to tasks
+    by runs of ``shard_slots`` slots and sorted by slot, so every run of a written file is the mix in order; texts stay whole and
+    a source's words come within one document of its target.  Rows that agree in id, source and size share their slots in turn.
     """
-    _, targets, used = mix(docs, **options)
-    times = used.where("first = 0").groupBy("doc_id", "s", "size").agg(F.count("*").alias("times"))
+    sizes, targets, used = mix(docs, **options)
+    slots = used.where("first = 0").groupBy("doc_id", "s", "size").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     named = small(targets.select("s", F.col("source").alias("name")))
-    chosen = times.join(named, "s").select(F.col("doc_id").alias("of"), "name", F.col("size").alias("at"), "times")
+    chosen = slots.join(named, "s").select(F.col("doc_id").alias("of"), "name", F.col("size").alias("at"), "slots")
     rows, back = aside(docs, "doc_id", "text", "source")
     rows = rows.withColumn("_size", sized_text())
     found = rows.join(chosen, F.expr("doc_id <=> of and source <=> name and _size = at"))
-    return found.withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).select(*back)
+    repeated = cut(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")).where("times > 1"))
+    if repeated.isEmpty():
+        found = found.withColumn("_slot", F.explode("slots"))
+    else:
+        again = repeated.select(F.col("doc_id").alias("of2"), F.col("source").alias("name2"), F.col("size").alias("at2"), "times")
+        found = found.join(again, F.expr("doc_id <=> of2 and source <=> name2 and _size = at2"), "left").withColumn("times", F.coalesce("times", F.lit(1)))
+        turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))) - 1
+        found = found.withColumn("_turn", turn).withColumn("_slot", F.explode(F.expr("filter(slots, (x, i) -> i % times = _turn)")))
+    placed_rows = found.withColumn("_shard", F.expr(f"_slot div {shard_slots}"))
+    return placed_rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*back)
 
 
 SQL = """

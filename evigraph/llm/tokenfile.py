@@ -85,8 +85,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
                 )
                 before += int(ends[-1])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, run, "doc_id long, n_tokens long, before long, ids array<int>").write.options(**OPTIONS).parquet(path)
+    # the hash parts rows that share an id; a file a task, whatever the session's limit, since ``before`` counts by task
+    rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    encoded = map_arrow(ordered, run, "doc_id long, n_tokens long, before long, ids array<int>")
+    encoded.write.options(**OPTIONS).option("maxRecordsPerFile", 0).parquet(path)
 
 
 def documents(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:

@@ -81,7 +81,7 @@ def test_odd_vectors(spark):
     assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2]
 
 
-def test_pipeline_stages_are_brute_force(spark, tmp_path):
+def test_pipeline_stages_follow_one_another(spark, tmp_path):
     """Each stage of the pipeline on its predecessor's rows, with the columns of documents."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
