@@ -72,14 +72,14 @@ def slices(batch: pa.RecordBatch, rows: int, chars: int, column: str = "text"):
         start = stop
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema, batch: int | None = None) -> DataFrame:
     """``mapInArrow``; the import keeps pyarrow.compute loaded on workers.
 
-    The session's limit of records a batch is lowered to ``BATCH``, since texts may be long and both sides hold a batch.
+    With ``batch`` the session's limit of records a batch is lowered to it, where whole rows of long texts pass both sides.
     """
     conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(limit)) <= BATCH:
-        conf.set(limit, BATCH)
+    if batch is not None and not 0 < int(conf.get(limit)) <= batch:
+        conf.set(limit, batch)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401

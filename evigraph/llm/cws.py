@@ -33,7 +33,7 @@ from .common import map_arrow, slices
 
 SAMPLES = 128
 GRAIN = 1 << 16
-BLOCK = 4096  # terms whose draws are held at once
+BLOCK = 4096  # terms drawn at once; the draws of 32 times as many are kept for the texts that share them
 
 
 def _tables():
@@ -112,7 +112,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     first, rows, index = 0, [], {}
     for n, t in enumerate(texts):
         terms = sorted(Counter(_terms(t)).items())
-        if rows and len(index) + len(terms) > 8 * BLOCK:
+        if rows and len(index) + len(terms) > 32 * BLOCK:
             made(first, rows, index)
             first, rows, index = n, [], {}
         rows.append([index.setdefault(item, len(index)) for item in terms])

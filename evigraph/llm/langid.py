@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, crc_bucket, hash_share, map_arrow, slices
+from .common import BATCH, aside, crc_bucket, hash_share, map_arrow, slices
 
 WINDOW, HIDDEN = 64, 8
 ALNUM = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions that aren't decimal digits
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, rows_per_language: int = 300, stretch: int = 384, steps
     return train([r["part"] for r in rows], [r["lang"] for r in rows], steps)
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
+def identify(docs: DataFrame, model: dict, batch: int | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` after its own columns (which must not have these names; see ``aside``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     schema = docs.schema
 
     out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_arrow(docs, run, out)
+    return map_arrow(docs, run, out, batch)
 
 
 def held_out(docs: DataFrame):
@@ -256,4 +256,4 @@ def accepted(docs: DataFrame, min_score: float = 0.3, **fitting) -> DataFrame:
     """The rows whose language is recognised (not ``und``, score of ``min_score`` or more), with the columns of ``docs``."""
     rows, back = aside(docs, "doc_id", "text", "lang")
     model = fit(rows.where(~held_out(rows)), **fitting)
-    return identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*back)
+    return identify(rows, model, BATCH).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*back)

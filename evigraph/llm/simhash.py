@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, block_pairs, cut, hash_share, map_arrow, slices, stored
+from .common import BATCH, aside, block_pairs, cut, hash_share, map_arrow, slices, stored
 from .components import connected_components
 
 LONG = 8192
@@ -430,7 +430,7 @@ def _marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("t"))
     schema = "doc_id long, t long, n1 long, n2 long, c1 long, c2 long, size long, keys array<long>"
-    return stored(map_arrow(texts, run, schema), "marks")
+    return stored(map_arrow(texts, run, schema, BATCH), "marks")
 
 
 def _text_hash():
