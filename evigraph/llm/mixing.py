@@ -173,12 +173,13 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, shard_slots: int = 64, **options) -> DataFrame:
+def mixed(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``, a document as often as the mix takes it, in the order of the mix.
 
-    A document comes once for each lap in which its first word is taken, at the slot that takes it.  Rows are dealt to tasks
-    by runs of ``shard_slots`` slots and sorted by slot, so every run of a written file is the mix in order; texts stay whole and
-    a source's words come within one document of its target.  Rows that agree in id, source and size share their slots in turn.
+    A document comes once for each lap in which its first word is taken, at the slot that takes it.  Every task holds a part of
+    the rows dealt by hash and sorts it by slot, so a written file is a random part of the mix in the mix's order, and texts are
+    shuffled once; texts stay whole and a source's words come within one document of its target.  Rows that agree in id,
+    source and size share their slots in turn.
     """
     sizes, targets, used = mix(docs, **options)
     slots = used.where("first = 0").groupBy("doc_id", "s", "size").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
@@ -195,8 +196,7 @@ def mixed(docs: DataFrame, shard_slots: int = 64, **options) -> DataFrame:
         found = found.join(again, F.expr("doc_id <=> of2 and source <=> name2 and _size = at2"), "left").withColumn("times", F.coalesce("times", F.lit(1)))
         turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))) - 1
         found = found.withColumn("_turn", turn).withColumn("_slot", F.explode(F.expr("filter(slots, (x, i) -> i % times = _turn)")))
-    placed_rows = found.withColumn("_shard", F.expr(f"_slot div {shard_slots}"))
-    return placed_rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*back)
+    return found.sortWithinPartitions("_slot").select(*back)
 
 
 SQL = """
