@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -107,6 +108,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def block_pairs(rows: DataFrame, keys: list[str], limit, by: str) -> DataFrame:
     """Adds (i, j, side) for comparing the rows of equal ``keys`` within one task.
 

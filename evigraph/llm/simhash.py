@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH, aside, block_pairs, cut, hash_share, map_arrow, slices, stored
+from .common import BATCH, aside, block_pairs, cut, dropped, hash_share, map_arrow, slices, stored, swept
 from .components import connected_components
 
 LONG = 8192
@@ -36,6 +36,8 @@ PARTS = (3, 4, 5)
 PAIR_COST = 0.005  # of the cost of a key row
 GATE = 44  # of 128 bits; the tests compute what it loses at a similarity of 0.8
 BLOCK, BLOCK_ITEMS = 512, 2 << 20  # sets compared in one task, and their shingles
+SHORT, DENSE = 16, 4  # rows of one key that are always compared pair by pair, and pairs a row from which a longer run counts as dense
+ROUND = 32_000_000  # rows of keys that are shuffled at a time
 SAMPLE = 2000
 
 
@@ -239,14 +241,7 @@ def choose_plan(prints: DataFrame, distance: int, parts=PARTS) -> list[tuple[lis
 
 
 def _forest(fp: np.ndarray, checks: np.ndarray, ids: np.ndarray, distance: int, check_distance: int):
-    """Links that span each group of linked rows of one run.
-
-    Rows of one group need no comparison with one another: a few rows are held against all first, and then only
-    rows outside the largest group found so far, block by block.
-    """
-    n = len(fp)
-    label = np.arange(n)
-    us, vs = [], []
+    """Links that span each group of linked rows of one run."""
 
     def near(rows, others):
         got = np.bitwise_count(fp[rows][:, None] ^ fp[others][None]) <= distance
@@ -254,6 +249,19 @@ def _forest(fp: np.ndarray, checks: np.ndarray, ids: np.ndarray, distance: int,
             got &= sum(np.bitwise_count(c[rows][:, None] ^ c[others][None]).astype(np.int32) for c in checks) <= check_distance
         return got
 
+    return _span(near, ids)
+
+
+def _span(near, ids: np.ndarray):
+    """Links that span each group of rows linked by ``near(rows, others)``.
+
+    Rows of one group need no comparison with one another: a few rows are held against all first, and then only
+    rows outside the largest group found so far, block by block.
+    """
+    n = len(ids)
+    label = np.arange(n)
+    us, vs = [], []
+
     def unite(row, with_rows):
         met = np.unique(label[np.append(with_rows, row)])
         if len(met) > 1:
@@ -386,6 +394,11 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return np.concatenate([hashes[~hot], hashes[hot]])[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of 1,024 buckets whether it holds an odd number of shingles: two sets differ in as many shingles as bits here, or more."""
+    return np.packbits(np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).tobytes()
+
+
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles of three or more different texts of a sample of about ``SAMPLE`` texts, counted by the executors; they only save work."""
     share = SAMPLE / max(docs.count(), 1)
@@ -402,9 +415,10 @@ def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, t, n1, n2, c1, c2, size, keys) of every row, written once.
+    """(doc_id, t, n1, n2, c1, c2, size, keys, odd) of every row, written once.
 
-    t: a hash of the text that tells rows of one id apart; n1, n2: 128-bit digest of the set; c1, c2: its SimHash; keys: its prefix.
+    t: a hash of the text that tells rows of one id apart; n1, n2: 128-bit digest of the set; c1, c2: its SimHash; keys: its prefix;
+    odd: its ``parities``.
     """
     import xxhash
 
@@ -413,23 +427,25 @@ def _marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, 500, 4 << 20):
-                own, size, keys = [], [], []
+                own, size, keys, odd = [], [], [], []
                 for text in b.column("text"):
                     h, c1, c2 = shingle_set(text.as_py(), shingle)
                     n = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), 7), np.int64)
                     own.append((n[0], n[1], c1, c2))
                     size.append(len(h))
+                    odd.append(parities(h))
                     keys.append(prefix(h, common.value, similarity).view(np.int64))
                 own = np.array(own, np.int64).reshape(-1, 4)
                 ends = np.append(0, np.cumsum([len(x) for x in keys]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("t"), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(4)), pa.array(size, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
-                    names=["doc_id", "t", "n1", "n2", "c1", "c2", "size", "keys"],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))),
+                     pa.array(odd, pa.binary())],
+                    names=["doc_id", "t", "n1", "n2", "c1", "c2", "size", "keys", "odd"],
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash().alias("t"))
-    schema = "doc_id long, t long, n1 long, n2 long, c1 long, c2 long, size long, keys array<long>"
+    schema = "doc_id long, t long, n1 long, n2 long, c1 long, c2 long, size long, keys array<long>, odd binary"
     return stored(map_arrow(texts, run, schema, BATCH), "marks")
 
 
@@ -437,10 +453,159 @@ def _text_hash():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` that span the groups of sets that share a shingle of their prefixes and have 128 bits within ``GATE``."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("c1").alias("fp"), "c1", "c2")
-    return _run_links(keyed, ["c1", "c2"], 64, GATE)
+def _may_be(x, y, c1, c2, size, place, similarity: float):
+    """Which pairs of rows (x, y broadcast together) of one key can be of the similarity: by sizes and by what follows the shared shingle, both
+    exact, and by 128 bits within ``GATE``.  A pair passes the second at the first shingle it shares, or it isn't similar."""
+    need = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
+    ok = np.minimum(size[x], size[y]) >= need
+    ok &= np.minimum(size[x] - place[x], size[y] - place[y]) >= need
+    return ok & (np.bitwise_count(c1[x] ^ c1[y]).astype(np.int16) + np.bitwise_count(c2[x] ^ c2[y]) <= GATE)
+
+
+def _pairs_in_runs(run, node, c1, c2, size, place, similarity: float):
+    """(u, v, dense) of the runs of equal numbers: every pair that may be similar (dense 0), or, in a run of more than ``SHORT`` rows where a row
+    has more than about ``DENSE`` such pairs, links that span the groups which these form (dense 1)."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    sizes = np.diff(np.append(starts, len(run)))
+    us, vs, dense = [], [], []
+
+    def add(u, v, kind):
+        us.append(node[u])
+        vs.append(node[v])
+        dense.append(np.full(len(u), kind))
+
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+    for s in range(1, SHORT):
+        x, y = at[:-s], at[s:]
+        same = run[x] == run[y]
+        if not same.any():
+            break
+        x, y = x[same], y[same]
+        ok = _may_be(x, y, c1, c2, size, place, similarity)
+        add(x[ok], y[ok], 0)
+    for a, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+        near = lambda x, y: _may_be((a + x)[:, None], (a + y)[None, :], c1, c2, size, place, similarity)  # noqa: B023, E731
+        everyone = np.arange(n)
+        some = np.unique(np.linspace(0, n - 1, min(n, 256)).astype(np.int64))
+        if near(some, everyone).sum() - len(some) > 2 * DENSE * len(some):
+            got = np.array(_span(near, everyone), np.int64).reshape(2, -1)
+            add(a + got[0], a + got[1], 1)
+            continue
+        for b in range(0, n, 512):
+            x = everyone[b : b + 512]
+            i, j = np.nonzero(near(x, everyone[: b + 512]) & (everyone[None, : b + 512] < x[:, None]))
+            add(a + x[i], a + j, 0)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *us]), np.concatenate([empty, *vs]), np.concatenate([empty, *dense])
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v, dense)``, u > v, once each: pairs of sets that share a shingle of their prefixes and may be similar; see ``_pairs_in_runs``.
+
+    Keys are taken in rounds of about ``ROUND`` rows, so the shuffle's disk doesn't grow with the table: a round's files go before the next.
+    """
+    names = ["key", "i", "j", "node", "c1", "c2", "size", "place"]
+
+    def run(batches):
+        left = None
+
+        def found(data):
+            if not len(data[0]):
+                return
+            runs = np.append(0, np.cumsum(np.any([x[1:] != x[:-1] for x in data[:3]], axis=0)))
+            u, v, dense = _pairs_in_runs(runs, data[3], data[4].view(np.uint64), data[5].view(np.uint64), data[6], data[7], similarity)
+            apart = u != v
+            rows = np.unique(np.array([np.maximum(u, v), np.minimum(u, v), dense])[:, apart].T, axis=0)
+            for a in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[a : a + (1 << 16), k])) for k in range(3)], names=["u", "v", "dense"])
+
+        def whole(held):
+            nonlocal left
+            data = [np.concatenate(x) for x in zip(*([left] if left is not None else []), *held)]
+            last = np.all([x == x[-1] for x in data[:3]], axis=0)
+            end = 0 if last.all() else int(len(last) - np.argmin(last[::-1]))
+            left = [x[end:] for x in data]
+            yield from found([x[:end] for x in data])
+
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+            n += b.num_rows
+            if n >= 1 << 16:
+                yield from whole(held)
+                held, n = [], 0
+        if n:
+            yield from whole(held)
+        if left is not None:
+            yield from found(left)
+
+    many = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    rounds, parts = max(1, math.ceil(many / ROUND)), []
+    long = _long_keys(nodes)
+    for r in range(rounds):
+        keyed = nodes.select(F.posexplode("keys").alias("place", "key"), "node", "c1", "c2", "size").where(F.pmod("key", F.lit(rounds)) == r)
+        rows = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+        if long is not None:
+            own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+            rows = (
+                keyed.join(long.withColumnRenamed("key", "long"), F.col("key") == F.col("long"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            )
+        placed = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*names)
+        parts.append(stored(map_arrow(placed, run, "u long, v long, dense long").distinct(), "pairs"))
+        del keyed, rows, placed
+        swept(nodes.sparkSession)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    pairs = cut(found.groupBy("u", "v").agg(F.max("dense").alias("dense")))
+    for p in parts:
+        dropped(p)
+    return pairs
+
+
+def _not_apart(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(u, v)`` less those whose sets differ in too many shingles, as their parities prove (exact; sets are sent for the rest only)."""
+
+    def run(batches):
+        for b in batches:
+            u, v, n, x, y = (b.column(b.schema.get_field_index(c)) for c in ("u", "v", "n", "x", "y"))
+            bits = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 16) for c in (x, y)]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            near = pa.array(differ <= (1 - similarity) / (1 + similarity) * n.to_numpy(zero_copy_only=False) + 1e-6)
+            yield pa.RecordBatch.from_arrays([u.filter(near), v.filter(near)], names=["u", "v"])
+
+    ends = [nodes.select(F.col("node").alias(c), F.col("odd").alias(o), F.col("size").alias(f"n{c}")) for c, o in (("u", "x"), ("v", "y"))]
+    both = pairs.select("u", "v").join(ends[0], "u").join(ends[1], "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "x", "y")
+    return cut(map_arrow(both, run, "u long, v long"))
+
+
+def _long_keys(nodes: DataFrame) -> DataFrame | None:
+    """(key, blocks) of keys that more than ``LONG`` nodes have, as a sample of nodes shows; one not seen is compared whole all the same."""
+    share = min(1.0, 128 / LONG)
+    some = nodes if share == 1 else nodes.where(hash_share("node", 9) < share)
+    counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg((F.count("*") / F.lit(share)).alias("n")).where(F.col("n") > LONG)
+    long = cut(counts.select("key", F.ceil(F.col("n") / LONG).cast("int").alias("blocks")))
+    return None if long.isEmpty() else long
+
+
+def _pairs_verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` of exact similarity among ``pairs(u, v)``: the sets around each u meet, in parts of about ``BLOCK`` sets."""
+    size = nodes.select(F.col("node").alias("v"), "size")
+    sized = pairs.select("u", "v").join(size, "v")
+    parts = sized.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ITEMS)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("v", F.lit(5)), F.col("parts")).cast("int").alias("part")
+    around = cut(
+        pairs.select("u", "v").join(parts, "u").select("u", part, F.col("v").alias("node"))
+        .unionByName(parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("node")))
+    )
+    member = nodes.select("node", "rep").join(around.select("node").distinct(), "node")
+    sets = _sets(docs, member.withColumn("component", F.lit(0).cast("long")).withColumn("blocks", F.lit(1)), shingle)
+    swept(docs.sparkSession)
+    found = cut(_compared(around.join(sets.select("node", "items"), "node"), ["u", "part"], similarity))
+    dropped(sets)
+    return found
 
 
 def _similar(nodes, sets, similarity: float):
@@ -531,6 +696,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
     first = cut(_compared(rows.withColumn("own", deal("salt", "blocks")), ["component", "salt", "own"], similarity))
     large = sets.where("blocks > 1")
     if large.isEmpty():
+        dropped(sets)
         return first
     labels = large.select("node", "component", F.length("items").alias("bytes")).join(
         connected_components(first).withColumnRenamed("component", "label"), "node", "left"
@@ -557,15 +723,18 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
             )
         ).alias("pair"),
     ).select("component", "pair.*", "node", "items")
-    return first.unionByName(_compared(pairs, ["component", "kind", "i", "j"], similarity))
+    found = cut(first.unionByName(_compared(pairs, ["component", "kind", "i", "j"], similarity)))
+    dropped(sets)
+    return found
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """All columns of ``docs``, one document of each group of near-duplicates: that of the smallest id.
 
     Near: an exact Jaccard similarity of ``similarity`` or more of the sets of five-word shingles (as 64-bit hashes).
-    Sets so similar share a shingle of their prefixes; those that do and whose 128-bit SimHash differs in at most
-    ``GATE`` bits are compared exactly.  Sets with one 128-bit digest are taken to be equal.
+    Sets so similar share a shingle of their prefixes; pairs that do, that their sizes, the shingles' places and parities (all exact)
+    do not rule out, and whose 128-bit SimHash differs in at most ``GATE`` bits are compared exactly: pair by pair, or by groups where
+    a shingle has many such pairs.  Sets with one 128-bit digest are taken to be equal.
 
     Null texts count as empty; texts without words are one group.  Null ids come last; of rows with one id and text one
     stays.  Texts of any length count whole.  Other columns are carried along whatever their names; an empty table stays empty.
@@ -574,17 +743,22 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     nodes = stored(
         marks.groupBy("n1", "n2").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("rep"),
-            F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("size").alias("size"), F.first("keys").alias("keys"),
+            F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("odd").alias("odd"),
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    groups = connected_components(_candidates(nodes))
-    classes = connected_components(_verified(docs, nodes, groups, shingle, similarity))
+    repeated = cut(marks.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    dropped(marks)
+    pairs = _candidates(nodes, similarity)
+    sparse = _not_apart(pairs.where("dense = 0"), nodes, similarity)
+    groups = connected_components(pairs.where("dense = 1"))
+    found = _verified(docs, nodes, groups, shingle, similarity).unionByName(_pairs_verified(docs, nodes, sparse, shingle, similarity))
+    classes = connected_components(found)
     member = nodes.select("node", "rep").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     chosen = stored(
         member.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_of"), F.col("rep.t").alias("_t")), "chosen"
     )
-    repeated = cut(marks.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    dropped(nodes)
     of, again = F.col("_of"), F.col("_again")
     plain, restore = aside(docs, "doc_id", "text")
     id_ = F.col("doc_id").cast("long")

@@ -302,6 +302,42 @@ def test_large_groups_keep_their_classes(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(first.values())
 
 
+def test_chains_of_candidates_are_not_compared_in_whole(spark, monkeypatch):
+    """Texts that share half of their shingles with the next form one long chain: the sets sent are in proportion to the texts."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30 * 200 + 70)]
+    docs = spark.createDataFrame([(i, " ".join(words[30 * i : 30 * i + 100])) for i in range(200)], "doc_id long, text string")
+    sent, compared = [], simhash._compared
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    monkeypatch.setattr(simhash, "_compared", lambda rows, *rest: sent.append(rows.count()) or compared(rows, *rest))
+    assert simhash.keep_one(docs).count() == 200
+    assert sum(sent) < 5 * 200
+
+
+def test_keep_one_by_rounds_and_long_keys(spark, monkeypatch):
+    rows, pairs = _edited(random.Random(13))
+    near = {d for d, j in pairs if j >= 0.8}
+    monkeypatch.setattr(simhash, "ROUND", 1500)
+    monkeypatch.setattr(simhash, "LONG", 20)
+    base = [f"b{i}" for i in range(120)]
+    copies = [(1000 + i, " ".join(w if j != 3 * i else f"c{i}" for j, w in enumerate(base))) for i in range(40)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    assert kept == {d for d, _ in rows} - near | {1000}
+
+
+def test_keep_one_leaves_no_keys_or_sets_behind(spark):
+    """The files of marks, nodes and sets go with their last reader, so they don't add to the disk of what follows."""
+    from pathlib import Path
+
+    from evigraph.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*-*"))
+    rows, _ = _edited(random.Random(14))
+    simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {p.name.split("-")[0] for p in set(folder.glob("*-*")) - before if p.is_dir()} & {"marks", "nodes", "sets"} == set()
+
+
 def test_gate_loses_next_to_nothing():
     """Chance that sets of a similarity of 0.8 differ in more bits than the gate, by enumeration over small sets."""
     from math import comb
