@@ -10,7 +10,9 @@ border.  Back-pointers from the whole word's last token give the exact ids.
 
 Words come from the tokenizer's own normaliser and splitting rule.  Results are
 remembered per worker for words and white-space-delimited pieces; both memories are
-emptied when full, so memory is bounded and results do not change.
+emptied when full, so memory is bounded and results do not change.  Where only ids are
+wanted, smaller memories of ids alone are kept: workers outlive a stage, and what they
+hold stays in the executor's memory while later stages run.
 
 Nulls and empty texts have no ids; repeated rows are encoded each by itself; other
 columns of the input, whatever their names, are ignored by the digest query.
@@ -22,6 +24,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, slices, worker_cache
 
-PIECES = 300_000
+PIECES, FITS = 300_000, 1_000_000
+FEW_PIECES, FEW_FITS = 200_000, 200_000  # where only ids are kept
 MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 END = "\x00"
 
@@ -105,7 +109,7 @@ def _joined(a: tuple, b: tuple) -> tuple:
 class Bpe:
     """Encoder and decoder of a byte-level BPE vocabulary with word-end suffixes, from its tokenizer file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, room: int = PIECES, fits_room: int = FITS):
         import ahocorasick
         import regex
 
@@ -142,9 +146,17 @@ class Bpe:
         table.make_automaton()
         self.table = table
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Pieces(self._piece, self._word, _joined)
-        self.number = {i: str(i).encode() for i in self.text_of}
-        self.token = {i: t.encode() for i, t in self.text_of.items()}
+        self.fits_room = fits_room
+        self.pieces = Pieces(self._piece, self._word, _joined, room)
+        self.packed = Pieces(self._packed_piece, self._packed_word, bytes.__add__, room)
+
+    @cached_property
+    def number(self) -> dict[int, bytes]:
+        return {i: str(i).encode() for i in self.text_of}
+
+    @cached_property
+    def token(self) -> dict[int, bytes]:
+        return {i: t.encode() for i, t in self.text_of.items()}
 
     def _rendered(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
         number, token = self.number, self.token
@@ -154,10 +166,19 @@ class Bpe:
         return self._rendered(self.ids_of(text))
 
     def _word(self, text: str) -> tuple[bytes, bytes, bytes]:
+        return self._rendered(self._word_ids(text))
+
+    def _word_ids(self, text: str) -> list[int]:
         if not text.isascii():
             symbols = self.symbols
             text = "".join([symbols[b] for b in text.encode()])
-        return self._rendered(self.encode_word(text))
+        return self.encode_word(text)
+
+    def _packed_piece(self, text: str) -> bytes:
+        return array("i", self.ids_of(text)).tobytes()
+
+    def _packed_word(self, text: str) -> bytes:
+        return array("i", self._word_ids(text)).tobytes()
 
     def _ends(self, token: str) -> bool:
         return bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
@@ -200,7 +221,7 @@ class Bpe:
                     continue
                 ok = fits.get((prior, token))
                 if ok is None:
-                    if len(fits) > 1_000_000:
+                    if len(fits) >= self.fits_room:
                         fits.clear()
                     ok = fits[prior, token] = self.compatible(prior, token)
                 if not ok:
@@ -238,6 +259,11 @@ class Bpe:
         known = self.pieces
         return [known[p] for p in cut_pieces(text)]
 
+    def packed_of(self, text: str) -> bytes:
+        """A text's ids as 32-bit numbers; of its pieces nothing else is kept."""
+        known = self.packed
+        return b"".join([known[p] for p in cut_pieces(text)])
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join([p[2] for p in self.pieces_of(text)]), "<i4").tolist()
 
@@ -251,12 +277,12 @@ def _lower(c: str) -> str:
     return c.lower()
 
 
-def load(spec: str, key: str = "bpe") -> Bpe:
+def load(spec: str, key: str = "bpe", **rooms: int) -> Bpe:
     """The worker's encoder for a tokenizer file's content."""
     kept = worker_cache(key)
     mark = hash(spec)
     if kept.get("mark") != mark:
-        kept["bpe"], kept["mark"] = Bpe(spec), mark
+        kept["bpe"], kept["mark"] = Bpe(spec, **rooms), mark
     return kept["bpe"]
 
 
@@ -270,10 +296,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches):
-        bpe = load(shared.value)
+        bpe = load(shared.value, "bpe_ids", room=FEW_PIECES, fits_room=FEW_FITS)
         for whole in batches:
             for b in slices(whole, 1000, 2 << 20):
-                rows = [b"".join([p[2] for p in bpe.pieces_of(t.as_py() or "")]) for t in b.column("text")]
+                rows = [bpe.packed_of(t.as_py() or "") for t in b.column("text")]
                 ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays(

@@ -60,6 +60,29 @@ def test_bpe_memory_is_bounded_and_exact(tokenizer):
         assert len(own.pieces) <= 51
 
 
+def test_encoding_documents_remembers_ids_only(tokenizer, spark, monkeypatch):
+    """What a worker holds on to counts in its executor while later stages run: ids of a bounded number of pieces and no texts of them."""
+    import pyarrow as pa
+
+    from evigraph.llm.common import worker_cache
+
+    runs = []
+    monkeypatch.setattr(bpe, "map_arrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(bpe, "FEW_PIECES", 50)
+    monkeypatch.setattr(bpe, "FEW_FITS", 20)
+    bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer_path())
+    rng = random.Random(4)
+    hard = ["İstanbul ΣΑΣ <|endoftext|>x DON'T", "\x1c a\x1db", "", "a" * 300]
+    texts = hard + [" ".join("".join(rng.choice("abcdeéT,.3") for _ in range(rng.randint(1, 7))) for _ in range(20)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [ids for b in runs[0](iter([batch])) for ids in b.column("ids").to_pylist()]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    held = worker_cache("bpe_ids").pop("bpe")
+    worker_cache("bpe_ids").clear()
+    assert 0 < len(held.packed) <= 51 and 0 < len(held.fits) <= 20 and {type(v) for v in held.packed.values()} == {bytes}
+    assert not held.pieces and not {"number", "token"} & set(vars(held))
+
+
 def test_documents_encode_and_decode(spark, tokenizer):
     docs = spark.createDataFrame([(1, "The cat, the CAT"), (2, None), (3, "")], "doc_id long, text string")
     got = bpe.encode_documents(docs, queries.tokenizer_path())
