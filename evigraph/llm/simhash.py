@@ -565,6 +565,22 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs
 
 
+def _pigeonholed(nodes: DataFrame, distance: int) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of sets whose 64-bit fingerprints differ in ``distance`` bits or fewer, by the query's parts and
+    thresholds; sets of one fingerprint are reduced to one node first."""
+    prints = cut(nodes.groupBy(F.col("c1").alias("fp")).agg(F.min("node").alias("v")))
+    equal = nodes.select(F.col("node").alias("u"), "c1").join(prints, F.col("c1") == F.col("fp")).where("u <> v").select("u", "v")
+    found = cut(links(prints.select("fp", F.col("v").alias("node")), distance).unionByName(equal))
+    swept(nodes.sparkSession)
+    return found
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``pairs(u, v)`` less those within one of ``groups(node, component)``, whose sets are compared exactly as a group."""
+    ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("u", "v")]
+    return pairs.join(ends[0], "u", "left").join(ends[1], "v", "left").where("not coalesce(of_u = of_v, false)").select("u", "v")
+
+
 def _not_apart(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """``pairs(u, v)`` less those whose sets differ in too many shingles, as their parities prove (exact; sets are sent for the rest only)."""
 
@@ -728,11 +744,13 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
     return found
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
     """All columns of ``docs``, one document of each group of near-duplicates: that of the smallest id.
 
     Near: an exact Jaccard similarity of ``similarity`` or more of the sets of five-word shingles (as 64-bit hashes).
-    Sets so similar share a shingle of their prefixes; pairs that do, that their sizes, the shingles' places and parities (all exact)
+    Sets whose 64-bit SimHash differs in at most ``distance`` bits are found by the pigeonhole of ``near_duplicates`` and form groups, each
+    compared exactly.  A Hamming distance that can be probed reaches few pairs near ``similarity``, so the rest is found otherwise:
+    sets so similar share a shingle of their prefixes; pairs that do, that their sizes, the shingles' places and parities (all exact)
     do not rule out, and whose 128-bit SimHash differs in at most ``GATE`` bits are compared exactly: pair by pair, or by groups where
     a shingle has many such pairs.  Sets with one 128-bit digest are taken to be equal.
 
@@ -749,9 +767,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     )
     repeated = cut(marks.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
     dropped(marks)
+    close = _pigeonholed(nodes, distance)
     pairs = _candidates(nodes, similarity)
-    sparse = _not_apart(pairs.where("dense = 0"), nodes, similarity)
-    groups = connected_components(pairs.where("dense = 1"))
+    groups = cut(connected_components(close.unionByName(pairs.where("dense = 1").select("u", "v"))))
+    sparse = _not_apart(_between(pairs.where("dense = 0"), groups), nodes, similarity)
     found = _verified(docs, nodes, groups, shingle, similarity).unionByName(_pairs_verified(docs, nodes, sparse, shingle, similarity))
     classes = connected_components(found)
     member = nodes.select("node", "rep").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -257,6 +257,39 @@ def test_keep_one_keeps_what_is_less_similar(spark):
     assert len(apart) > 30 and set(apart) <= kept and {d - 1 for d, _ in pairs} <= kept
 
 
+def test_keep_one_probes_by_the_pigeonhole(spark, monkeypatch):
+    """Near copies within three bits are found by fingerprints alone, and their pairs go nowhere else; what only looks near stays."""
+    rng = random.Random(15)
+    rows, near, apart = [], set(), set()
+    while len(near) < 6 or len(apart) < 4:
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        if len(near) < 6:
+            v, kind = [*w[:-1], "changed"], near
+        else:
+            v, kind = w[: round(len(w) * 0.78)], apart
+        (a, c, _), (b, d, _) = (simhash.shingle_set(" ".join(x)) for x in (w, v))
+        if ((c ^ d) & (1 << 64) - 1).bit_count() <= 3:
+            alike = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            assert (alike >= 0.8) == (kind is near)
+            kind.add(len(rows) + 1)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {d for d, _ in rows} - near
+    sent, verified = [], simhash._pairs_verified
+    monkeypatch.setattr(simhash, "_pairs_verified", lambda docs, nodes, pairs, *rest: sent.append(pairs.count()) or verified(docs, nodes, pairs, *rest))
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept and sent == [0]
+    monkeypatch.setattr(simhash, "_candidates", lambda nodes, _: spark.createDataFrame([], "u long, v long, dense long"))
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept
+
+
+def test_pigeonholed_sets_of_one_fingerprint_are_linked(spark):
+    from evigraph.llm.components import connected_components
+
+    rows = [(0, 5), (1, 5), (2, 4), (3, -1), (4, 5), (5, -2), (6, 1 << 40)]
+    found = connected_components(simhash._pigeonholed(spark.createDataFrame(rows, "node long, c1 long"), 3)).collect()
+    assert {r["node"]: r["component"] for r in found} == {0: 0, 1: 0, 2: 0, 4: 0, 6: 0, 3: 3, 5: 3}
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
