@@ -471,7 +471,7 @@ def graph_store(spark, sf_dir) -> st.GraphStore:
 @query("SELECT 'node--' || c_custkey AS src, 'HAS' AS rel_type, '\"seen\"' AS text, 1::BIGINT AS version FROM customer WHERE c_nationkey = 3")
 def dm_create(spark, sf_dir):
     store = graph_store(spark, sf_dir)
-    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 3 CREATE (c)-[:HAS]->(n:Note {text: 'seen'})")
+    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 3 CREATE (c)-[:HAS]->(n:Note {text: 'seen'})", bounded=False)
     notes = store.nodes().where(F.array_contains("labels", "Note")).select(F.col("id").alias("dst"), F.col("props")["text"].alias("text"), F.col("version"))
     return store.rels().select("src", "dst", "rel_type").join(notes, "dst").select("src", "rel_type", "text", "version")
 

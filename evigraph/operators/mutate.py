@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExceeded, Conflict, InvalidRequest
 from ..model import WRITABLE
 from ..plans import cypher as C
+from .traverse import cut
 
 RESERVED = ("status", "confidence", "evidence_refs")
+#: Changes one statement may make where it is bounded, as requests are; jobs over whole tables run unbounded.
 MAX_MUTATIONS = 5_000
 
 
@@ -123,9 +125,21 @@ def _highest(store, table: str, kind: str) -> int:
     return top or 0
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``n``, their number from 1 in an order: ranges of it are sorted apart, each goes on from those before it.
+
+    The sorted ranges are kept in the shared folder, so every use of the numbers sees the same ones.
+    """
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.select(*rows.columns, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return ranged.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("start") + F.col("_at") + 1).alias("n"))
+
+
 def _new_rel(rows: DataFrame, start: int, src, dst, kind: str, now: str) -> DataFrame:
-    numbered = rows.select(src.alias("src"), dst.alias("dst")).withColumn("n", F.row_number().over(Window.orderBy("src", "dst")))  # bounded by MAX_MUTATIONS
-    return numbered.select(
+    return numbered(rows.select(src.alias("src"), dst.alias("dst")), "src", "dst").select(
         F.concat(F.lit("rel--"), (F.col("n") + start).cast("string")).alias("id"), F.lit(1).cast("long").alias("version"), "src", "dst",
         F.lit(kind).alias("rel_type"), F.create_map().cast("map<string,string>").alias("props"), F.lit("candidate").alias("status"),
         F.lit(None).cast("double").alias("confidence"), F.array().cast("array<string>").alias("evidence_refs"), F.lit(now).alias("recorded_at"),
@@ -164,8 +178,11 @@ def _set_version(var: str, changes: list, params: dict, now: str) -> F.Column:
     return row, props, fields, now
 
 
-def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """A changing statement: one commit, then the returned items, or a row of counters without RETURN."""
+def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:00:00Z", bounded: bool = True) -> DataFrame:
+    """A changing statement: one commit, then the returned items, or a row of counters without RETURN.
+
+    A bounded statement (a request) is refused whole beyond ``MAX_MUTATIONS``; an unbounded one changes all that it matches.
+    """
     params = params or {}
     q = C.parse(text)
     if not q.mutates:
@@ -178,9 +195,9 @@ def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:
     n = rows.count() if rows is not None else 1
     made = dict.fromkeys(("nodes_created", "rels_created", "nodes_merged", "rels_merged", "properties_set", "properties_removed", "records_deleted"), 0)
     planned = n * (sum(2 if p.target else 1 for p in [*q.create, *q.merge]) + len(q.set) + len(q.remove) + len(q.delete))
-    if planned > MAX_MUTATIONS:
+    if bounded and planned > MAX_MUTATIONS:
         raise BudgetExceeded(f"up to {planned} changes; {MAX_MUTATIONS} are allowed")
-    nodes, rels = [], []
+    nodes, rels, kept = [], [], [] if rows is None or q.items else [rows]
     next_node, next_rel = _highest(store, "nodes", "node"), _highest(store, "rels", "rel")
     for p in q.create:
         if p.target is None:
@@ -189,8 +206,7 @@ def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:
             nodes.append(_new_node(spark, ids, p.node, params, now))
             made["nodes_created"] += 1
         elif n:
-            numbered = rows.select(F.col(p.node.var)["id"].alias("src")).withColumn("n", F.row_number().over(Window.orderBy("src")))
-            pairs = numbered.select("src", F.concat(F.lit("node--"), (F.col("n") + next_node).cast("string")).alias("dst"))
+            pairs = numbered(rows.select(F.col(p.node.var)["id"].alias("src")), "src").select("src", F.concat(F.lit("node--"), (F.col("n") + next_node).cast("string")).alias("dst"))
             nodes.append(_new_node(spark, pairs.select(F.col("dst").alias("id")), p.target, params, now))
             rels.append(_new_rel(pairs, next_rel, F.col("src"), F.col("dst"), p.rel_type, now))
             next_node, next_rel = next_node + n, next_rel + n
@@ -210,6 +226,7 @@ def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:
             pairs = rows.select(F.col(p.node.var)["id"].alias("src"), F.lit(found).alias("dst")).distinct()
             there = store.rels().where(F.col("rel_type") == p.rel_type).select("src", "dst")
             fresh = pairs.join(there, ["src", "dst"], "left_anti").cache()
+            kept.append(fresh)
             k = fresh.count()
             made["rels_merged"] += pairs.count() - k
             made["rels_created"] += k
@@ -252,6 +269,8 @@ def run(store, text: str, params: dict | None = None, now: str = "1970-01-01T00:
     frames = {name: union(parts) for name, parts in (("nodes", nodes), ("rels", rels)) if parts}
     if frames:
         store.commit(expected, **frames)
+    for frame in kept:
+        frame.unpersist()
     if q.items and rows is not None:
         return rows.select(*[(F.col(i.ref)["id"] if isinstance(i.ref, str) else _prop(i.ref.var, i.ref.prop)).alias(i.name) for i in q.items])
     return spark.createDataFrame([tuple(made.values())], ", ".join(f"{k} long" for k in made))
