@@ -481,7 +481,7 @@ def dm_merge(spark, sf_dir):
     """The same MERGE twice makes one topic and one relationship a customer."""
     store = graph_store(spark, sf_dir)
     for _ in range(2):
-        mu.run(store, "MATCH (c:Customer) WHERE c.nation = 4 MERGE (c)-[:LIKES]->(t:Topic {name: 'x'})")
+        mu.run(store, "MATCH (c:Customer) WHERE c.nation = 4 MERGE (c)-[:LIKES]->(t:Topic {name: 'x'})", bounded=False)
     return store.rels().groupBy("src", "rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
