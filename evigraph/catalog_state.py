@@ -489,8 +489,8 @@ def dm_merge(spark, sf_dir):
        "CASE WHEN c_nationkey = 5 THEN 'validated' ELSE 'candidate' END AS status, CASE WHEN c_nationkey = 5 THEN 0.75::DOUBLE END AS confidence FROM customer")
 def dm_set_remove(spark, sf_dir):
     store = graph_store(spark, sf_dir)
-    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 5 SET c.confidence = 0.75, c.status = 'Validated'")
-    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 5 REMOVE c.segment")
+    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 5 SET c.confidence = 0.75, c.status = 'Validated'", bounded=False)
+    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 5 REMOVE c.segment", bounded=False)
     return store.nodes().select("id", "version", F.col("props")["segment"].alias("segment"), "status", "confidence")
 
 
