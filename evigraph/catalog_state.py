@@ -498,7 +498,7 @@ def dm_set_remove(spark, sf_dir):
 def dm_delete(spark, sf_dir):
     """Deleted nodes leave reads and stay in the history."""
     store = graph_store(spark, sf_dir)
-    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 6 DELETE c")
+    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 6 DELETE c", bounded=False)
     history = store.versions("nodes").groupBy("id").agg(F.count(F.lit(1)).alias("versions"))
     shown = store.nodes().select("id", F.lit(True).alias("shown"))
     return history.join(shown, "id", "left").select("id", F.col("shown").isNull().alias("gone"), "versions")
