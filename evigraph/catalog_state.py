@@ -532,7 +532,7 @@ def dm_import(spark, sf_dir):
 @query("SELECT 'node--' || c_custkey AS id, 1::BIGINT AS version FROM customer UNION ALL SELECT 'node--' || c_custkey, 2 FROM customer WHERE c_nationkey = 7")
 def st_versions(spark, sf_dir):
     store = graph_store(spark, sf_dir)
-    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 7 SET c.seen = true")
+    mu.run(store, "MATCH (c:Customer) WHERE c.nation = 7 SET c.seen = true", bounded=False)
     return store.versions("nodes").select("id", "version")
 
 

@@ -8,7 +8,7 @@ from evigraph.operators import mutate as mu
 from test_catalog import duck, test_query as as_in_sql  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["dm_create", "dm_merge", "dm_set_remove", "dm_delete"])
+@pytest.mark.parametrize("name", ["dm_create", "dm_merge", "dm_set_remove", "dm_delete", "st_versions"])
 def test_changes_of_whole_tables(spark, duck, monkeypatch, name):  # noqa: F811
     """The limit of a request's changes stops no job over a table."""
     monkeypatch.setattr(mu, "MAX_MUTATIONS", 1)
