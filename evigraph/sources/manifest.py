@@ -18,7 +18,8 @@ class Manifests:
         self.root = root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
 
     def text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -42,9 +43,10 @@ class Manifests:
         out.close()
 
     def files(self, path: str) -> list[tuple[str, int, int]]:
-        """(name, bytes, time) of the files of a folder, or of a file, by name."""
+        """(name, bytes, time) of the files of a folder, or of a file, by name; the path may be in another store than the manifests."""
         at = self._path(path)
-        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        fs = at.getFileSystem(self._conf)
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def _numbers(self) -> list[int]:
         """Numbers of the manifests, highest first."""

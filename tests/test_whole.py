@@ -81,3 +81,11 @@ def test_index_of_nothing(spark, tmp_path):
     index = ti.TextIndex(spark, str(tmp_path / "index"))
     index.rebuild(spark.createDataFrame([], "id string, text string"), ["text"])
     assert tuple(index.table("stats").first()) == (0, None) and index.bm25(["aa"]).count() == 0
+
+
+def test_index_of_a_table_in_another_store(spark, tmp_path):
+    """The documents may be where only Spark reads, and not in the store of the index."""
+    spark.createDataFrame([(1, "one two"), (2, "two")], "id long, text string").write.parquet(str(tmp_path / "docs"))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.elsewhere.link./in", f"file://{tmp_path}")
+    index = ti.of_table(spark, str(tmp_path / "shared"), "viewfs://elsewhere/in/docs", ["text"], "id")
+    assert {(r["term"], r["df"]) for r in index.table("terms").collect()} == {("one", 1), ("two", 2)}
